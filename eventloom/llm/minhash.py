@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from eventloom.llm.common import fmix, id_filter, may_hold, span_hashes, stored, text_batches
+from eventloom.llm.common import fmix, id_filter, may_hold, ranges, span_hashes, stored, text_batches
 from eventloom.llm.components import components
 
 #: Components of a signature, chunks they are split into, wrong components allowed in a chunk, bits kept of each.
@@ -112,7 +112,7 @@ def profile(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, signature binary")
 
 
-def with_keys(classes: DataFrame, signature: bool = False) -> DataFrame:
+def with_keys(classes: DataFrame) -> DataFrame:
     """(key, rep) for each class and kept choice of components."""
 
     def run(batches):
@@ -129,10 +129,8 @@ def with_keys(classes: DataFrame, signature: bool = False) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(run, "key long, rep long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) with 100 * |A & B| >= percent * |A | B| on the full sets."""
-
-    used = stored(pairs.select(F.explode(F.array("a", "b")).alias("used")).distinct(), "used-ids")
+def sets_of(docs: DataFrame, used: DataFrame, words: int) -> DataFrame:
+    """(id, shingles): the shingle sets of the documents in ``used`` (one column of distinct ids, "used")."""
     given = docs.sparkSession.sparkContext.broadcast(id_filter(used, "used"))  # at most 16 MB
 
     def run(batches):
@@ -149,7 +147,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     sets = rows.mapInArrow(run, "id long, shingles array<long>")
     sets = sets.join(used, sets["id"] == used["used"], "left_semi")
-    sets = stored(sets.groupBy("id").agg(F.min("shingles").alias("shingles")), "shingle-sets")
+    return stored(sets.groupBy("id").agg(F.min("shingles").alias("shingles")), "shingle-sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) with 100 * |A & B| >= percent * |A | B| on the full sets."""
+    used = stored(pairs.select(F.explode(F.array("a", "b")).alias("used")).distinct(), "used-ids")
+    sets = sets_of(docs, used, words)
     left = sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("left"))
     right = sets.select(F.col("id").alias("b_id"), F.col("shingles").alias("right"))
     both = pairs.join(right, F.col("b") == F.col("b_id")).join(left, F.col("a") == F.col("a_id"))
@@ -172,8 +176,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Equal sets are one class, represented by its smallest doc_id. First, each class is compared
     with the smallest class of each of its buckets (found by partial minima, so a bucket of any
     size is split over tasks); then, in buckets that still hold several components, all pairs
-    from different components within DISTANCE, in tiles of bounded size. No pair of classes is
-    left out, and no group of copies is expanded into its pairs.
+    from different components within DISTANCE, in tiles of bounded size that return only links
+    that join something. No pair of classes is left out, and none is written out that links nothing.
 
     A null, empty or blank text has no shingles and links with nothing. A row with a null doc_id
     links with nothing and has a null component; repeated doc_ids with different texts count as
@@ -186,9 +190,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = stored(classes, "shingle-classes")
     unique = stored(classes.groupBy("rep").agg(F.min("signature").alias("signature")), "class-signatures")
     firsts = with_keys(unique).groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    firsts = stored(firsts.select(F.col("key").alias("bucket"), "first", "n"), "buckets")
+    firsts = stored(firsts.select(F.col("key").alias("bucket"), "first"), "buckets")
     keyed = with_keys(unique)
-    shared = stored(keyed.join(firsts, keyed["key"] == firsts["bucket"]).select("key", "rep", "first", "n"), "bucket-members")
+    shared = stored(keyed.join(firsts, keyed["key"] == firsts["bucket"]).select("key", "rep", "first"), "bucket-members")
     star = shared.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     star = stored(star, "star-pairs")
     linked = stored(confirmed(star, docs, words, percent), "star-links")
@@ -197,13 +201,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     member = stored(same.select(F.col("doc_id").alias("member"), "rep"), "class-members")
     joint = member.filter("member <> rep").select(F.col("member").alias("a"), F.col("rep").alias("b"))
     groups = stored(components(linked), "star-components").withColumnsRenamed({"id": "vertex", "component": "group"})
-    held = shared.join(groups, shared["rep"] == groups["vertex"], "left").select("key", "rep", "n", F.coalesce("group", "rep").alias("group"))
+    held = shared.join(groups, shared["rep"] == groups["vertex"], "left").select("key", "first", "rep", F.coalesce("group", "rep").alias("group"))
     held = stored(held, "bucket-groups")
     mixed = held.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select(F.col("key").alias("mixed"))
     mixed = stored(mixed, "mixed-buckets")
-    rest = stored(cross_pairs(held.join(mixed, held["key"] == mixed["mixed"]).select("key", "rep", "n", "group"), unique), "cross-candidates")
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    linked = linked.union(confirmed(stored(rest.distinct(), "cross-pairs"), docs, words, percent))
+    open_ = held.join(mixed, held["key"] == mixed["mixed"])
+    open_ = stored(open_.groupBy("first", "rep").agg(F.min("group").alias("group")), "mixed-members")
+    linked = linked.union(cross_links(open_, unique, docs, words, percent))
     found = stored(components(linked.union(joint)), "near-components").withColumnsRenamed({"id": "vertex", "component": "component_id"})
     out = facts.select("doc_id", "n_shingles")
     out = out.join(found, out["doc_id"] == found["vertex"], "left")
@@ -211,52 +215,80 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def cross_pairs(members: DataFrame, unique: DataFrame, side: int = 512) -> DataFrame:
-    """Pairs (a < b) of different groups inside a bucket whose signatures differ in at most DISTANCE components.
+def cross_links(members: DataFrame, unique: DataFrame, docs: DataFrame, words: int, percent: int, side: int = 1024) -> DataFrame:
+    """Links (a, b) that connect what the links between different groups of one bucket connect.
 
-    A bucket of n members is cut by a hash into ceil(n / side) parts and compared part by part.
+    members: (first, rep, group), a row per class of a bucket and the bucket's first class.
+    Classes that buckets chain together make a cluster; one of n classes is cut by a hash into
+    ceil(n / side) parts, and each pair of parts is a tile that holds the full sets. A tile
+    compares the classes of different groups whose signatures differ in at most DISTANCE
+    components and returns a link only where it joins two groups, so it has fewer links than classes.
     """
-    parts = F.expr(f"cast(ceil(n / {side}) as int)")
-    rows = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    chains = stored(components(members.select(F.col("first").alias("a"), F.col("rep").alias("b"))), "clusters").withColumnsRenamed({"id": "vertex", "component": "cluster"})
+    rows = members.groupBy("rep").agg(F.min("group").alias("group"))
+    rows = stored(rows.join(chains, rows["rep"] == chains["vertex"]).select("rep", "group", "cluster"), "cluster-members")
+    sizes = stored(rows.groupBy("cluster").agg(F.expr(f"cast(ceil(count(*) / {side}) as int)").alias("parts")).select(F.col("cluster").alias("of_cluster"), "parts"), "cluster-sizes")
+    sets = sets_of(docs, rows.select(F.col("rep").alias("used")), words)
     sig = unique.select(F.col("rep").alias("of"), "signature")
-    rows = stored(rows.join(sig, rows["rep"] == sig["of"]).select("key", "rep", "group", "parts", "part", "signature"), "mixed-members")
+    rows = rows.join(sizes, rows["cluster"] == sizes["of_cluster"]).join(sig, rows["rep"] == sig["of"]).join(sets, rows["rep"] == sets["id"])
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = tiles.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "group", "signature")
-    tiles = tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    tiles = tiles.select("cluster", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "group", "signature", "shingles")
+    tiles = tiles.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
 
     def run(batches):
         import pyarrow as pa
 
         def solve(x, y, rows):
-            part = np.array([r[3] for r in rows])
-            rep, group = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-            sig = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint32).reshape(-1, COMPONENTS)
-            a, b = np.flatnonzero(part == x), np.flatnonzero(part == y)
-            if not len(a) or not len(b):
-                return
-            for s in range(0, len(a), 64):
-                i = a[s : s + 64]
-                near = (sig[i][:, None, :] != sig[b][None, :, :]).sum(axis=2) <= DISTANCE
-                near &= group[i][:, None] != group[b][None, :]
-                p, q = np.nonzero(near)
-                u, v = rep[i[p]], rep[b[q]]
-                keep = u != v if x != y else u < v
-                u, v = u[keep], v[keep]
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+            a, b = tile_links(x, y, rows, percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         now, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            keys = [batch.column(i).to_pylist() for i in range(7)]
+            lists = batch.column(7)
+            for k, row in enumerate(zip(*keys)):
                 if row[:3] != now:
                     if held:
                         yield from solve(now[1], now[2], held)
                     now, held = row[:3], []
-                held.append(row)
+                held.append((*row[3:], np.array(lists[k].values.to_numpy(zero_copy_only=False))))
         if held:
             yield from solve(now[1], now[2], held)
 
-    return tiles.mapInArrow(run, "a long, b long").distinct()
+    return stored(tiles.mapInArrow(run, "a long, b long"), "cross-links")
+
+
+def tile_links(x: int, y: int, rows: list[tuple], percent: int) -> tuple[list[int], list[int]]:
+    """Links of a tile; rows: (part, rep, group, signature, shingles). Pairs already joined are skipped."""
+    part, rep = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    _, group = np.unique([r[2] for r in rows], return_inverse=True)
+    sig = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint32).reshape(-1, COMPONENTS)
+    size = np.array([len(r[4]) for r in rows])
+    _, local = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)
+    start = np.cumsum(size) - size
+    mark = np.zeros(len(local), dtype=bool)
+    left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
+    a, b = [], []
+    for i in left:
+        others = right[(group[right] != group[i]) & (right > i if x == y else True)]
+        if not len(others):
+            continue
+        others = others[(sig[others] != sig[i]).sum(axis=1) <= DISTANCE]
+        others = others[(100 * np.minimum(size[others], size[i])) >= percent * np.maximum(size[others], size[i])]
+        if not len(others):
+            continue
+        own = local[start[i] : start[i] + size[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[local[ranges(start[others], size[others])]], np.cumsum(size[others]) - size[others], dtype=np.int64)
+        mark[own] = False
+        for j in others[100 * common >= percent * (size[i] + size[others] - common)]:
+            if group[j] != group[i]:
+                a.append(int(rep[i]))
+                b.append(int(rep[j]))
+                group[group == group[j]] = group[i]
+    return a, b
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
