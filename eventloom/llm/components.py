@@ -66,7 +66,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         many = mins.filter("n > 1").select(F.col("hi").alias("v"), "m")
         handed = e.join(many, e["hi"] == many["v"]).filter("lo <> m")
-        handed = handed.select(F.greatest("lo", "m").alias("hi"), F.least("lo", "m").alias("lo"))
+        handed = handed.select(F.greatest("lo", "m").alias("hi"), F.least("lo", "m").alias("lo")).distinct()
         kept = mins.select("hi", F.col("m").alias("lo"))
         e = stored(handed.union(kept).repartition("hi").mapInArrow(_local, "hi long, lo long"), "edges")
     while True:
