@@ -1,0 +1 @@
+"""Event-log analytics on Spark DataFrames."""
