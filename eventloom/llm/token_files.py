@@ -197,7 +197,7 @@ def write_files(
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def read_files(manifest: DataFrame) -> DataFrame:
+def read_files(manifest: DataFrame, most_tasks: int = 10_000) -> DataFrame:
     """Documents of the files of a manifest: doc_id, start, n_tokens, ids (little-endian u32, binary)."""
 
     def run(batches):
@@ -219,7 +219,8 @@ def read_files(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([keys, pa.array(start + ends - count), pa.array(count), cells], ["doc_id", "start", "n_tokens", "ids"])
                     start += int(ends[-1])
 
-    files = manifest.select("path", "dictionary", "start").repartition(F.col("path"))
+    files = manifest.select("path", "dictionary", "start")
+    files = files.repartition(max(1, min(files.count(), most_tasks)))
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 

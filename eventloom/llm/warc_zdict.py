@@ -194,7 +194,7 @@ def write_archives(
     return stored(joined.mapInArrow(run, "path string, n_records long"), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
+def read_archives(manifest: DataFrame, most_tasks: int = 10_000) -> DataFrame:
     """Records of the archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit).
 
     Length and digest of a response are taken from its payload and checked against its headers.
@@ -230,7 +230,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             yield emit()
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, schema)
+    files = manifest.select("path")
+    return files.repartition(max(1, min(files.count(), most_tasks))).mapInArrow(run, schema)
 
 
 def op8_warc_zdict(spark, sf_dir: str) -> DataFrame:
