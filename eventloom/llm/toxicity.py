@@ -12,6 +12,7 @@ from eventloom.llm.common import SpanHasher, text_batches, word_spans
 #: Hash space of features, embedding size, filter widths, filters of each width, byte prefixes that are features beside the word.
 SPACE_BITS, DIM, WIDTHS, FILTERS, PREFIXES = 22, 8, (1, 2, 3), 8, (4, 5, 6)
 FEATURES = 1 + len(PREFIXES)
+LEAST_THRESHOLD = 0.3
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +82,9 @@ class Model:
         if not len(count):
             return np.zeros(0)
         x, at = self.embed(rows, count)
-        pooled = np.concatenate([np.maximum.reduceat(z, at, axis=0) for z in self.maps(x)], axis=1)
+        # windows that start at a text's words or at the first row of its gap: none reaches the next text
+        spans = np.stack([at, at + count + 1], axis=1).ravel()
+        pooled = np.concatenate([np.maximum.reduceat(z, spans, axis=0)[::2] for z in self.maps(x)], axis=1)
         return np.maximum(pooled, 0) @ self.out + self.bias
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -115,15 +118,17 @@ def initial(docs: list[np.ndarray], labels: np.ndarray, most: int, seed: int) ->
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, langs: list[str], epochs: int = 3, rate: float = 0.02, most: int = 1 << 17, seed: int = 7) -> Model:
-    """Fit on nine tenths of the rows; calibrate logits and thresholds on the rest.
+    """Fit on nine tenths of the rows; calibrate logits and thresholds on the rest. Empties ``docs``.
 
     weights: how many rows of the whole each row stands for. A language's threshold is the score
     that gives the best F1 there; languages with fewer than 12 rows of either label use "".
     """
-    held = np.arange(len(docs)) % 10 == 9
+    n = len(docs)
+    held = np.arange(n) % 10 == 9
     fit = np.flatnonzero(~held)
     model = initial([docs[i] for i in fit], labels[fit], most, seed)
     rows = [model.rows(d) for d in docs]
+    docs.clear()  # the rows stand for them from here on
     sizes = np.array([len(r) for r in rows])
     rng = np.random.Generator(np.random.PCG64(seed))
     squares = {"table": np.full(len(model.table), 1e-3), "out": np.full_like(model.out, 1e-3), "filters": [np.full_like(b, 1e-3) for b in model.filters]}
@@ -175,7 +180,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, langs
                 model.table[unique] -= (rate * total / np.sqrt(squares["table"][unique])[:, None]).astype(np.float32)
     rest = np.flatnonzero(held)
     if not len(rest) or len(set(labels[rest].tolist())) < 2:
-        rest = np.arange(len(docs))
+        rest = np.arange(n)
     logit = np.concatenate([model.logits(np.concatenate([rows[i] for i in rest[s : s + 200]]), sizes[rest[s : s + 200]]) for s in range(0, len(rest), 200)])
     y, share = labels[rest], weights[rest] / weights[rest].sum()
     for _ in range(200):  # Newton steps of a ridge regression of the label on the logit
@@ -193,24 +198,25 @@ def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, langs
         own = spoken == lang
         if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= 12:
             model.thresholds[lang] = best_threshold(score[own], y[own], share[own])
+    model.index = None
     return model
 
 
 def best_threshold(score: np.ndarray, y: np.ndarray, share: np.ndarray) -> float:
-    """The middle of the widest gap among the thresholds with the best weighted F1."""
+    """The score between the last row above and the first below the cut with the best weighted F1, LEAST_THRESHOLD at least: no clean document goes for want of labels."""
     order = np.argsort(-score, kind="stable")
     s, t, w = score[order], y[order], share[order]
     hit, out = np.cumsum(w * (t == 1)), np.cumsum(w)
     f1 = np.where(np.append(s[:-1] != s[1:], True), 2 * hit / (out + (w * (t == 1)).sum()), -1)
     k = int(np.argmax(f1))
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
+    return max(LEAST_THRESHOLD, float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2))
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2500, clean_rows: int = 5000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean_rows: int = 2500) -> Model | None:
     """A model from at most ``toxic_rows`` and ``clean_rows`` labelled documents, the first by a hash of doc_id.
 
     Rows whose crc32(doc_id) mod 4 is 2 are never used. Null labels, ids and texts are left out.
@@ -235,13 +241,15 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2500, clean_rows:
             yield pa.RecordBatch.from_arrays([ids, langs, toxic, pa.array(blobs, pa.binary())], ["doc_id", "lang", "toxic", "features"])
 
     sample = rows.mapInArrow(run, "doc_id long, lang string, toxic int, features binary").toArrow()
-    ids = sample.column("doc_id").to_numpy()
-    blobs, langs, y = sample.column("features").to_pylist(), sample.column("lang").to_pylist(), sample.column("toxic").to_numpy().astype(np.int64)
-    order = sorted(range(len(ids)), key=lambda i: (int(ids[i]) * 0x9E3779B97F4A7C15 % (1 << 64), blobs[i]))
-    y = y[order]
+    ids, y = sample.column("doc_id").to_numpy(), sample.column("toxic").to_numpy().astype(np.int64)
+    langs, data = sample.column("lang").to_pylist(), sample.column("features").combine_chunks()
     if not (y == 0).any() or not (y == 1).any():
         return None
-    found = [np.frombuffer(blobs[i], dtype=np.int32).reshape(-1, FEATURES) for i in order]
+    at = np.frombuffer(data.buffers()[1], dtype=np.int32)[data.offset : data.offset + len(data) + 1]
+    found = [np.frombuffer(data.buffers()[2], dtype=np.int32, count=(b - a) // 4, offset=a).reshape(-1, FEATURES) for a, b in zip(at.tolist(), at[1:].tolist())]
+    order = sorted(range(len(ids)), key=lambda i: (int(ids[i]) * 0x9E3779B97F4A7C15 % (1 << 64), len(found[i])))
+    y, found = y[order], [found[i] for i in order]
+    del sample, data
     weights = np.array([numbers.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])[y]
     return train(found, y, weights, [langs[i] for i in order])
 
@@ -261,7 +269,7 @@ def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
 
         model = given.value
         limits = model.thresholds if model else {"": 1.0}
-        for ids, texts, langs in text_batches(batches, 1, 2_000_000):
+        for ids, texts, langs in text_batches(batches):
             score = model.score(texts) if model else np.zeros(len(texts))
             limit = np.array([limits.get(x or "", limits[""]) for x in langs.to_pylist()])
             yield pa.RecordBatch.from_arrays([ids, langs, pa.array(score), pa.array(limit), pa.array(score >= limit)], ["doc_id", "lang", "score", "threshold", "toxic"])
@@ -287,7 +295,7 @@ def drop_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
             keep = []
             numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text_at)], ["row", "text"])
             langs = batch.column(lang_at).to_pylist() if lang_at is not None else [None] * batch.num_rows
-            for rows, texts in text_batches([numbered], 1, 2_000_000):
+            for rows, texts in text_batches([numbered]):
                 score = model.score(texts)
                 keep += [s < model.thresholds.get(langs[r] or "", model.thresholds[""]) for r, s in zip(rows.to_pylist(), score)]
             yield batch.filter(pa.array(keep, pa.bool_()))
