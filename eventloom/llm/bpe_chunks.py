@@ -42,7 +42,7 @@ class ChunkEncoder:
     space, where the ids agree with those of the whole text.
     """
 
-    def __init__(self, path: str, average: int = 1024, window: int = 32, cache_chars: int = 12_000_000):
+    def __init__(self, path: str, average: int = 1024, window: int = 32, cache_chars: int = 8_000_000):
         self.words = encoder(path)
         self.average, self.window, self.cache_chars = average, window, cache_chars
         self.young: dict[str, np.ndarray] = {}
@@ -132,7 +132,7 @@ def encode_decode(
     text_column: str = "text",
     average: int = 1024,
     window: int = 32,
-    cache_chars: int = 12_000_000,
+    cache_chars: int = 8_000_000,
 ) -> DataFrame:
     """Ids of every whole text and the text decoded from them: (id, ids array<int>, decoded string).
 

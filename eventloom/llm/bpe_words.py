@@ -44,7 +44,7 @@ KIND, LOWER = _tables()
 class WordEncoder:
     """Ids of batches of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str, max_words: int = 700_000):
+    def __init__(self, path: str, max_words: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)

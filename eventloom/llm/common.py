@@ -102,7 +102,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum()), dtype=np.int64) + np.repeat(starts - at, lengths)
 
 
-def text_batches(batches, column: int = 1, most: int = 4_000_000):
+def text_batches(batches, column: int = 1, most: int = 1_000_000):
     """Row groups of Arrow batches as lists of columns, each of about ``most`` characters; null texts are empty.
 
     A single longer text makes a group of its own, so memory follows the longest text.
