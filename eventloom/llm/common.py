@@ -21,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows in the Arrow batches between Spark and Python: texts are long, and an executor holds several batches at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/eventloom-{what}-{uuid.uuid4().hex}"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from eventloom.llm import bpe_chunks, decontam, embed_ego, html_blocks, minhash, secrets, token_files, toolcalls, toxicity, warc_zdict
+from eventloom.llm.common import small_batches
 
 
 def _pipeline(spark, sf_dir: str):
@@ -11,6 +12,14 @@ def _pipeline(spark, sf_dir: str):
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _modest(query):
+    def run(spark, sf_dir: str):
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_ego_join": embed_ego.op1_ego_join,
     "op2_html_blocks": html_blocks.op2_html_blocks,
@@ -24,6 +33,7 @@ QUERIES = {
     "op10_cnn_toxicity": toxicity.op10_cnn_toxicity,
     "pipeline": _pipeline,
 }
+QUERIES = {name: _modest(query) for name, query in QUERIES.items()}
 ORACLES = {
     "op1_ego_join": embed_ego.OP1_SQL,
     "op7_minhash_multi_index": minhash.OP7_SQL,
