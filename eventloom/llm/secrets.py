@@ -32,21 +32,31 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def matches(text: str, pattern: str) -> str:
+def bound(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``value``, evaluated once, under ``name``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def matches(text: str, pattern: str, group: int = 256) -> str:
     """SQL for the leftmost non-overlapping matches as array<struct<start, stop, found>>, in code points.
 
     Texts without a match are scanned once; in the others the pieces between the matches give
-    the places.
+    the places, added up in groups of ``group`` matches and then over the groups, so that no
+    long array is copied at every match.
     """
     p = quoted(pattern)
-    return f"""
-    IF(coalesce({text}, '') RLIKE {p}, aggregate(
-      zip_with(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0),
-        (g, m) -> struct(length(g) AS skip, length(m) AS size, m AS found)),
-      struct(0 AS at, CAST(array() AS array<struct<start:int,stop:int,found:string>>) AS spans),
+    spans = "array<struct<start:int,stop:int,found:string>>"
+    steps = f"""zip_with(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0),
+      (g, m) -> struct(length(g) AS skip, length(m) AS size, m AS found))"""
+    one_group = f"""aggregate(slice(steps, k * {group} + 1, {group}), struct(0 AS at, CAST(array() AS {spans}) AS spans),
       (s, x) -> struct(s.at + x.skip + x.size AS at,
-        concat(s.spans, array(struct(s.at + x.skip AS start, s.at + x.skip + x.size AS stop, x.found AS found))) AS spans),
-      s -> s.spans), CAST(array() AS array<struct<start:int,stop:int,found:string>>))"""
+        concat(s.spans, array(struct(s.at + x.skip AS start, s.at + x.skip + x.size AS stop, x.found AS found))) AS spans))"""
+    placed = f"""aggregate(transform(sequence(0, CAST((size(steps) - 1) DIV {group} AS INT)), k -> {one_group}),
+      struct(0 AS at, CAST(array() AS array<{spans}>) AS parts),
+      (s, x) -> struct(s.at + x.at AS at,
+        concat(s.parts, array(transform(x.spans, y -> struct(y.start + s.at AS start, y.stop + s.at AS stop, y.found AS found)))) AS parts),
+      s -> flatten(s.parts))"""
+    return f"IF(coalesce({text}, '') RLIKE {p}, {bound(steps, 'steps', placed)}, CAST(array() AS {spans}))"
 
 
 def windows(candidate: str, width: int, least: float) -> str:
@@ -57,13 +67,13 @@ def windows(candidate: str, width: int, least: float) -> str:
     """
     term = "element_at(array(%s), %%s + 1)" % ", ".join(f"{n * math.log2(n) if n else 0.0!r}D" for n in range(width + 2))
     most = width * (math.log2(width) - least)
-    return f"""
+    fold = f"""
     aggregate(
-      sequence(1, length({candidate}.found)),
+      sequence(1, size(codes)),
       struct(array_repeat(0, 128) AS counts, 0.0D AS total, CAST(array() AS array<struct<start:int,stop:int>>) AS spans),
       (s, i) -> transform(array(struct(
-          ascii(substr({candidate}.found, i, 1)) AS a,
-          IF(i > {width}, ascii(substr({candidate}.found, i - {width}, 1)), -1) AS r)),
+          element_at(codes, i) AS a,
+          IF(i > {width}, element_at(codes, i - {width}), -1) AS r)),
         c -> transform(array(struct(
             transform(s.counts, (n, k) -> n + IF(k = c.a, 1, 0) - IF(k = c.r, 1, 0)) AS counts,
             IF(c.a = c.r, s.total, s.total
@@ -75,6 +85,9 @@ def windows(candidate: str, width: int, least: float) -> str:
               THEN concat(slice(s.spans, 1, size(s.spans) - 1), array(struct(element_at(s.spans, -1).start AS start, {candidate}.start + i AS stop)))
               ELSE concat(s.spans, array(struct({candidate}.start + i - {width} AS start, {candidate}.start + i AS stop))) END AS spans))[0])[0],
       s -> s.spans)"""
+    # a place in a string is found by a walk from its start, one in an array at once
+    codes = f"transform(slice(split({candidate}.found, ''), 1, length({candidate}.found)), x -> ascii(x))"
+    return bound(codes, "codes", fold)
 
 
 def spans_column(text: str) -> str:
@@ -86,10 +99,14 @@ def spans_column(text: str) -> str:
         named(1, matches(text, ACCESS)),
         named(2, matches(text, HEX)),
     ]
+    entropy = []
     for pattern, width, least, needs in CLASSES.values():
         good = f"filter({matches(text, pattern)}, x -> x.found RLIKE {quoted(needs)} AND NOT ({allowed}))"
-        parts.append(named(3, f"flatten(transform({good}, cand -> {windows('cand', width, least)}))"))
-    return f"array_sort(array_distinct(concat({', '.join(parts)})))"
+        entropy.append(f"flatten(transform({good}, cand -> {windows('cand', width, least)}))")
+    # classes can find the same span; numbers are told apart by a hash table, structs pair by pair
+    numbers = f"array_distinct(transform(concat({', '.join(entropy)}), x -> CAST(x.start AS BIGINT) * 4294967296 + x.stop))"
+    spans = f"transform({numbers}, v -> struct(CAST(v DIV 4294967296 AS INT) AS start, CAST(v % 4294967296 AS INT) AS stop))"
+    return f"array_sort(concat({', '.join([*parts, named(3, spans)])}))"
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -97,8 +114,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     Places are code points, the end exclusive. A null or empty text has no spans. Nothing is
     shuffled; null ids and repeated rows are kept; an empty table gives an empty result. Only the
-    two columns named are read. Work is linear in the text and, for texts with many matches,
-    quadratic in their number.
+    two columns named are read. Work is linear in the text; sums over a text's matches are taken
+    in groups.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     return rows.withColumn("secrets", F.expr(spans_column("text")))
@@ -117,9 +134,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
       (s, x) -> IF(size(s) > 0 AND element_at(s, -1).stop >= x.start,
         concat(slice(s, 1, size(s) - 1), array(struct(element_at(s, -1).start AS start, greatest(element_at(s, -1).stop, x.stop) AS stop))),
         concat(s, array(struct(x.start AS start, x.stop AS stop)))))"""
-    cut = f"""aggregate(__spans, struct(0 AS at, '' AS out),
-      (s, x) -> struct(x.stop AS at, concat(s.out, substr(text, s.at + 1, x.start - s.at), {quoted(mark)}) AS out),
-      s -> concat(s.out, substr(text, s.at + 1)))"""
+    piece = "transform(__spans, (x, i) -> substr(text, IF(i = 0, 0, __spans[greatest(i - 1, 0)].stop) + 1, x.start - IF(i = 0, 0, __spans[greatest(i - 1, 0)].stop)))"
+    cut = f"array_join(concat({piece}, array(substr(text, element_at(__spans, -1).stop + 1))), {quoted(mark)})"
     out = docs.withColumn("__spans", F.expr(merged))
     out = out.withColumn("text", F.expr(f"IF(size(__spans) = 0, text, {cut})")).drop("__spans")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
