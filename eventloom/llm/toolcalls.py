@@ -61,8 +61,9 @@ def problems(value, schema: dict, path: str = "$") -> list[str]:
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces and unescaped characters."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no spaces and unescaped characters, but for halves of surrogate pairs, which have no UTF-8."""
+    out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", out)
 
 
 def parsed(conversations: DataFrame) -> DataFrame:
@@ -134,7 +135,8 @@ def link_calls(conversations: DataFrame, schemas: dict[str, dict] | None = None)
     tasks: it has to be a stated, small catalogue.
 
     Equal rows count once. Null texts and roles are JSON nulls, null conv_ids and turns are
-    kept and link with nothing; malformed JSON is plain text. An empty table gives an empty result.
+    kept and link with nothing; malformed JSON is plain text, as are arguments nested beyond the
+    parser's depth. An empty table gives an empty result.
     """
     schemas = schemas or {}
     if len(json.dumps(schemas)) > 8 << 20:
@@ -177,7 +179,7 @@ def link_calls(conversations: DataFrame, schemas: dict[str, dict] | None = None)
                 for c in r["calls"]:
                     try:
                         arguments = json.loads(c["arguments"]) if c["arguments"] is not None else None
-                    except ValueError:
+                    except (ValueError, RecursionError):  # malformed, or nested beyond the parser's depth
                         arguments = c["arguments"]
                     rule = schemas.get(c["name"])
                     valid = None if rule is None else not problems(arguments, rule)

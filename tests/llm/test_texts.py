@@ -189,18 +189,20 @@ def test_tool_calls(spark):
             (1, 2, "tool", '{"tool_call_id":"y","content":"2"}'), (1, 3, "tool", '{"tool_call_id":"zz","content":"2"}'),
             (2, 5, "assistant", call({"id": "p", "name": "f", "arguments": {"b": 1, "a": [1, 2.5]}})), (2, 3, "tool", '{"tool_call_id":"p","content":"é"}'),
             (2, 4, "assistant", call({"id": "q", "name": "f", "arguments": {}, "depends_on": ["p"]})), (2, 6, "assistant", "{broken"), (2, 6, "assistant", "{broken"),
+            (4, 0, "assistant", call({"id": "h", "name": "f", "arguments": '{"b":"\\ud800é"}'}, {"id": "d", "name": "f", "arguments": "[" * 100000})),
             (3, 1, "assistant", call({"id": "m", "name": "f", "arguments": {}, "depends_on": ["n"]})), (3, 2, "tool", '{"tool_call_id":"m","content":""}'),
             (3, 3, "assistant", call({"id": "n", "name": "f", "arguments": {}, "depends_on": ["m"]})), (3, 4, "tool", '{"tool_call_id":"n","content":""}'), (None, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as node", "2 as calls")
     out = toolcalls.link_calls(df, schemas)
     got = {(r.conv_id, r.turn): r for r in out.collect()}
     assert out.count() == len(set(rows))
-    assert {k: r.status for k, r in got.items()} == {(1, 0): "plain", (1, 1): "pending", (1, 2): "linked", (1, 3): "orphan", (2, 5): "linked", (2, 3): "linked", (2, 4): "pending", (2, 6): "plain",
+    assert {k: r.status for k, r in got.items()} == {(1, 0): "plain", (1, 1): "pending", (1, 2): "linked", (1, 3): "orphan", (2, 5): "linked", (2, 3): "linked", (2, 4): "pending", (2, 6): "plain", (4, 0): "pending",
                                                      (3, 1): "cyclic", (3, 2): "cyclic", (3, 3): "cyclic", (3, 4): "cyclic", (None, None): "plain"}
     order = sorted((r for r in got.values() if r.conv_id == 2), key=lambda r: (r.order_turn, r.order_depth, r.turn))
     assert [r.turn for r in order] == [5, 3, 4, 6]
     assert got[1, 1].n_invalid == 1 and got[1, 1].n_answered == 1
     assert got[2, 5].json == '{"content":null,"role":"assistant","tool_calls":[{"answered":true,"arguments":{"a":[1,2.5],"b":1},"id":"p","name":"f","valid":null}]}'
+    assert '"arguments":{"b":"\\ud800é"}' in got[4, 0].json and json.loads(got[4, 0].json)["tool_calls"][1]["arguments"] == "[" * 100000
     assert toolcalls.link_calls(df.limit(0)).collect() == []
 
 
