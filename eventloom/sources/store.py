@@ -13,8 +13,10 @@ TABLES = ("sequence_table", "activity_index", "trace_metadata", "pairs_index", "
 class LogStore:
     """Tables of one log under ``root/namespace/log``.
 
-    Every write goes to a folder of its own; then a small pointer file is renamed into place, so
-    a reader sees the old table or the new one, and a table can be computed from itself.
+    Every write goes to a folder of its own; then a small pointer file with the next number is
+    renamed into place, so a reader sees the old table or the new one at any time, and a table
+    can be computed from itself. Partitioned tables are rebalanced before they are written:
+    small partitions share a task, a hot activity is split over several.
     """
 
     def __init__(self, spark: SparkSession, root: str, namespace: str = "default", log: str = "log"):
@@ -25,16 +27,22 @@ class LogStore:
     def _path(self, name: str):
         return self.hadoop.Path(f"{self.path}/{name}" if name else self.path)
 
-    def _pointer(self, table: str) -> str | None:
-        p = self._path(f"{table}/_CURRENT")
-        if not self.fs.exists(p):
-            return None
-        stream = self.fs.open(p)
+    def _pointers(self, table: str) -> list:
+        """Pointer files, the newest last; there is more than one only while, or after, a write was cut short."""
+        found = self.fs.globStatus(self._path(f"{table}/_CURRENT-*"))
+        return sorted((f.getPath() for f in found or []), key=lambda p: p.getName())
+
+    def _version(self, pointer) -> str:
+        stream = self.fs.open(pointer)
         try:
             return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
         finally:
             stream.close()
 
+    def _pointer(self, table: str) -> str | None:
+        found = self._pointers(table)
+        return self._version(found[-1]) if found else None
+
     def exists(self, table: str = "sequence_table") -> bool:
         return self._pointer(table) is not None
 
@@ -51,20 +59,21 @@ class LogStore:
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
         """Replace the table and return what was written."""
-        before = self._pointer(table)
+        before = self._pointers(table)
         version = f"v-{uuid.uuid4().hex}"
         by = PARTITIONS.get(table, [])
-        (df.repartition(*by) if by else df).write.partitionBy(*by).parquet(f"{self.path}/{table}/{version}")
+        (df.hint("rebalance", *by) if by else df).write.partitionBy(*by).parquet(f"{self.path}/{table}/{version}")
         temporary = self._path(f"{table}/_NEXT-{version}")
         out = self.fs.create(temporary, True)
         out.write(bytearray(version.encode()))
         out.close()
-        current = self._path(f"{table}/_CURRENT")
-        self.fs.delete(current, False)
-        if not self.fs.rename(temporary, current):
+        number = int(before[-1].getName().rsplit("-", 1)[1]) + 1 if before else 0
+        if not self.fs.rename(temporary, self._path(f"{table}/_CURRENT-{number:010d}")):
             raise OSError(f"the pointer of {table} couldn't be put in place")
-        if before:
-            self.fs.delete(self._path(f"{table}/{before}"), True)
+        for pointer in before:
+            old = self._version(pointer)
+            self.fs.delete(pointer, False)
+            self.fs.delete(self._path(f"{table}/{old}"), True)
         return self.read(table)
 
 
