@@ -266,6 +266,39 @@ def test_decontamination(spark):
     assert blocks == got
 
 
+def test_no_paraphrase_is_lost_by_the_space(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(3000)]
+    prose = lambda n: rng.choices(words, k=n)
+    items = {i: (prose(rng.randint(9, 17)), prose(5)) for i in range(1500)}
+    rows, want = [], set()
+    for d in range(120):
+        question, answer = items[d]
+        n = len(question) + 5
+        kept = sorted(rng.sample(range(len(question)), max(0, -(-62 * n // 100) - 5)))
+        own = [question[k] if k in kept else rng.choice(words) for k in range(len(question))] + answer
+        rows.append((d, " ".join(prose(rng.randint(0, 150)) + own + prose(rng.randint(0, 150)))))
+        want.add((d, d))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"{' '.join(q)}. {' '.join(a)}.") for i, (q, a) in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contamination(docs, bench).collect()} == want
+    assert decontam.drop_contaminated(docs, bench).count() == 0
+
+    few, bench = docs.filter("doc_id < 25"), bench.filter("item_id < 30")
+    found = set()
+    for d, text in rows[:25]:
+        text = text.split()
+        for i in range(30):
+            item = [*items[i][0], *items[i][1]]
+            for a in range(0, max(1, len(text)), 32):
+                near = text[max(0, a - 32) : a + 96]
+                n = lcs(item, near)
+                answered = f" {' '.join(items[i][1])} " in f" {' '.join(near)} "
+                if n >= 0.8 * len(item) or n >= 0.6 * len(item) and answered:
+                    found.add((d, i))
+    assert {(r.doc_id, r.item_id) for r in decontam.contamination(few, bench, cosine=1.1).collect()} == found
+
+
 def test_paraphrase_needs_the_answer():
     text = "one two three four five six seven eight nine ten. eleven twelve thirteen fourteen."
     assert decontam.answer_of(text) == "eleven twelve thirteen fourteen."
