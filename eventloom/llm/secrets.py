@@ -13,9 +13,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Candidate strings by character class: pattern, window length, least entropy in bits, what a candidate has to hold.
 CLASSES = {
-    "hexadecimal": (r"(?<![A-Za-z0-9+/_=-])[0-9a-fA-F]{20,}(?![A-Za-z0-9+/_=-])", 20, 3.0, r"^(?=.*[0-9])(?=.*[a-fA-F])"),
-    "upper": (r"(?<![A-Za-z0-9+/_=-])[A-Z0-9]{20,}(?![A-Za-z0-9+/_=-])", 20, 3.5, r"^(?=.*[0-9])(?=.*[G-Z])"),
-    "base64": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])", 24, 3.9, r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
+    "hexadecimal": (r"(?<![A-Za-z0-9+/_-])[0-9a-fA-F]{20,}(?![A-Za-z0-9+/_=-])", 20, 3.0, r"^(?=.*[0-9])(?=.*[a-fA-F])"),
+    "upper": (r"(?<![A-Za-z0-9+/_-])[A-Z0-9]{20,}(?![A-Za-z0-9+/_=-])", 20, 3.5, r"^(?=.*[0-9])(?=.*[G-Z])"),
+    "base64": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])", 24, 3.9, r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
 }
 #: Candidates that are known not to be secrets.
 ALLOWED = (

@@ -159,6 +159,19 @@ def test_secrets(spark):
     assert all(not base_spans(r.text or "") or "[SECRET]" in r.text for r in red.values()) and red[0].n_chars == len(red[0].text)
 
 
+def test_secrets_after_an_equals_sign(spark):
+    value, upper = "wJalrXUtnFEMIbK7MDENGbPxRfiCYq8Zt3LkVh2", "Q7ZK2M9XW4T8RB6VN3HJ5PL1YC0D"
+    sixteen = "0A1B2C3D4E5F60718293A4B5C6D7E8F9"
+    rows = [f"AWS_SECRET_ACCESS_KEY={value}", f"see https://h/?sig={value}&x=1", f"ID={upper} end", f"digest={sixteen}", "key=short", f"a={value}== b"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: {(s.start, s.stop) for s in r.secrets if s.kind == "entropy"} for r in secrets.scan(df).collect()}
+    assert (22, 22 + len(value)) in got[0] and (19, 19 + len(value)) in got[1]
+    assert (3, 3 + len(upper)) in got[2] and (7, 7 + len(sixteen)) in got[3] and not got[4]
+    assert min(got[5])[0] == 2 and max(stop for _, stop in got[5]) >= 2 + len(value)
+    red = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert red[0] == "AWS_SECRET_ACCESS_KEY=[SECRET]" and red[1] == "see https://h/?sig=[SECRET]&x=1"
+
+
 def test_archives(spark, tmp_path):
     rng = random.Random(3)
     big = ["<p>" + "".join(rng.choices("abc é", k=1500)) + "</p>" for _ in range(20)]
