@@ -11,11 +11,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from eventloom.llm.common import text_batches
 
-#: Elements whose content is never text.
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|option|button|object|audio|video|canvas"
-#: One piece of markup at a time; raw elements run to their own end tag or to the end of the page.
+#: Elements whose content is never text and holds no markup.
+RAW = "script|style|textarea|title|iframe"
+#: Elements whose content is never text where they have an end tag; others of them are plain tags.
+CLOSED = frozenset("noscript template svg select button object audio video canvas".split())
+#: Those of them that a second start tag ends.
+FLAT = frozenset("select button audio video canvas".split())
+#: One piece of markup at a time; raw elements run to their own end tag or to the end of the page, options to the next tag.
 PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<option(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>[^<]*"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
@@ -41,6 +46,8 @@ STOP_WORDS = frozenset(
     "le la les des et de un une du en que qui dans pour pas sur au avec ce il est plus par se ne son sa "
     "el los las del y en por con para una lo su al como más pero sus le ya o este sí porque esta entre".split()
 )
+ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in CLOSED}
+STARTS = {tag: re.compile(rf"<{tag}(?=[\s/>])", re.I) for tag in FLAT}
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -75,8 +82,19 @@ def blocks_of(page: str) -> list[Block]:
         if state["anchor"]:
             state["links"] += len(" ".join(entities.unescape(text).split()))
 
+    ends: dict[str, re.Match | None] = {}  # the next end tag of each element sought so far
+
+    def content_end(tag: str, at: int) -> int | None:
+        """Where the element that starts before ``at`` ends; each end tag is sought once."""
+        if tag not in ends or ends[tag] and ends[tag].start() < at:
+            ends[tag] = ENDS[tag].search(page, at)
+        end = ends[tag]
+        if end is None or tag in FLAT and STARTS[tag].search(page, at, end.start()):
+            return None
+        return end.end()
+
     at = 0
-    for m in PIECE.finditer(page):
+    while m := PIECE.search(page, at):
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
@@ -84,6 +102,12 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         closing = bool(m["end"] or m["end2"])
+        if tag in CLOSED and not closing:
+            if tag == "svg" and (m["attrs"] or m["attrs2"] or "").rstrip().endswith("/"):
+                continue
+            if end := content_end(tag, at):
+                at = end
+                continue
         if tag == "br":
             parts.append(" ")
             continue

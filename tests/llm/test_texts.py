@@ -106,6 +106,12 @@ def test_html(body):
     assert html_blocks.main_text(PAGE % body) == TEXT
 
 
+@pytest.mark.parametrize("tag", ["<svg-icon name=x></svg-icon>", "<video-js></video-js>", "<button-group></button-group>", "<svg class=i />", "<datalist><option value=a>one<option value=b>two</datalist>", "<video src=v>", "<button>"])
+def test_html_after_elements_without_end(tag):
+    assert html_blocks.main_text(PAGE % f"<article>{tag}{BODY}</article>") == TEXT
+    assert html_blocks.main_text(PAGE % f"<article>{tag}{BODY}</article><select><option>no</option></select><button>no</button>") == TEXT
+
+
 def test_html_of_odd_pages(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "just text &lt;b", "x"), (4, "u", "<article><p>cut <b>off", "x"), (5, "u", "<p " + "a" * 50000, "x"), (None, "u", "<article>" + "<p>w</p>" * 3000 + "</article>", "x")]
     got = {r.page_id: r.text for r in html_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
