@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import html as entities
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -60,20 +60,21 @@ class Block:
     boiler: bool  # inside a container that is never the article
     article: bool  # inside <article> or <main>
     heading: bool
+    teaser: bool = False  # inside <article> or <main> of such a container
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in page order, tags removed, references decoded, white space joined."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate, article, reader comments
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, boilerplate, article, reader comments, teaser
     parts: list[str] = []
     state = {"links": 0, "anchor": False, "heading": False}
-    boiler = article = False
+    boiler = article = teaser = False
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            found.append(Block(text, min(state["links"], len(text)), boiler, article, state["heading"]))
+            found.append(Block(text, min(state["links"], len(text)), boiler, article, state["heading"], teaser))
         parts.clear()
         state["links"] = 0
 
@@ -136,7 +137,7 @@ def blocks_of(page: str) -> list[Block]:
             attrs = m["attrs"] or m["attrs2"] or ""
             if attrs.rstrip().endswith("/") and tag not in ("div", "section", "article", "main", "p"):
                 continue
-            outer_boiler, outer_article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            outer_boiler, outer_article, outer_teaser = (stack[-1][1], stack[-1][2], stack[-1][4]) if stack else (False, False, False)
             names = set()
             if attrs:
                 for key, value in re.findall(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", attrs, re.I):
@@ -149,13 +150,13 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             bad = tag in BOILER_TAGS or bool(names & BOILER_WORDS) or tag == "header" and not outer_article
             if tag in ("article", "main") and not names & COMMENT_WORDS and not any(s[3] for s in stack):
-                stack.append((tag, False, True, False))
+                stack.append((tag, False, True, False, outer_boiler or outer_teaser))
             elif tag in ("body", "html"):
-                stack.append((tag, False, outer_article, False))
+                stack.append((tag, False, outer_article, False, False))
             else:
                 discussed = bool(names & COMMENT_WORDS)
-                stack.append((tag, outer_boiler or bad, outer_article, discussed))
-        boiler, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                stack.append((tag, outer_boiler or bad, outer_article, discussed, outer_teaser))
+        boiler, article, teaser = (stack[-1][1], stack[-1][2], stack[-1][4]) if stack else (False, False, False)
     if at < len(page):
         say(page[at:])
     flush()
@@ -170,7 +171,19 @@ def labels_of(blocks: list[Block], long_block: int = 140, short_block: int = 60,
     blocks outside it are out. The rest is ambiguous. Second pass: an ambiguous block takes the
     label of the nearest decided block, first among those of its own region (inside or outside
     the marked article); of two as near that differ, the one that is in.
+
+    Articles inside a boilerplate container are teasers, and out, where the page holds an article
+    or a block of prose elsewhere; else the container is taken for a wrapper of the whole page.
     """
+
+    def main(b: Block) -> bool:
+        words = WORD.findall(b.text.lower())
+        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        prose = len(b.text) >= long_block and stops >= density / 2 or len(b.text) >= short_block and stops >= density
+        return b.article or prose and not b.heading and b.links <= linked * len(b.text)
+
+    if any(b.teaser for b in blocks) and any(not b.boiler and not b.teaser and main(b) for b in blocks):
+        blocks = [replace(b, boiler=True, article=False) if b.teaser else b for b in blocks]
     marked = any(b.article and not b.boiler for b in blocks)
     decided: list[bool | None] = []
     for b in blocks:

@@ -112,6 +112,14 @@ def test_html_after_elements_without_end(tag):
     assert html_blocks.main_text(PAGE % f"<article>{tag}{BODY}</article><select><option>no</option></select><button>no</button>") == TEXT
 
 
+@pytest.mark.parametrize("box", ["aside", "nav", "footer", "div class=related"])
+def test_html_teasers_are_not_the_article(box):
+    teaser = f"<{box}><article><h2>Other</h2><p>The teaser of another article that has the words of a text in it and is as long as a text of its kind is, so that it is a block of its own and not a short one.</p></article></{box.split()[0]}>"
+    assert html_blocks.main_text(PAGE % f"<div class=post>{BODY}</div>{teaser}") == TEXT
+    assert html_blocks.main_text(PAGE % f"<article>{BODY}</article>{teaser}") == TEXT
+    assert html_blocks.main_text(PAGE % f"<form id=page><article>{BODY}</article></form>") == TEXT
+
+
 def test_html_of_odd_pages(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "just text &lt;b", "x"), (4, "u", "<article><p>cut <b>off", "x"), (5, "u", "<p " + "a" * 50000, "x"), (None, "u", "<article>" + "<p>w</p>" * 3000 + "</article>", "x")]
     got = {r.page_id: r.text for r in html_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
