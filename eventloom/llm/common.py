@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``. One of the machine's own only where that is unset and all runs in one process (tests)."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "eventloom-shared")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)
@@ -32,18 +36,50 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/eventloom-{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str = "table") -> DataFrame:
+#: Folders to be deleted when the innermost ``scratch`` ends.
+_OPEN: list[list[str]] = []
+
+
+def stored(df: DataFrame, what: str = "table", kept: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage so that a lost executor never repeats what came before, and lets column
-    pruning reach the stored columns, which ``checkpoint()`` would not.
+    pruning reach the stored columns, which ``checkpoint()`` would not. Inside ``scratch`` the
+    table goes when that ends, unless it is ``kept``.
     """
     spark = df.sparkSession
     path = new_folder(spark, what)
+    if _OPEN and not kept:
+        _OPEN[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the tables stored within it; what is returned from it may read only tables that were ``kept``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        delete(spark, *_OPEN.pop())
+
+
+def delete(spark: SparkSession, *folders: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for folder in folders:
+        path = hadoop.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or a longer one that is no column of the frames."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_clashes(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of the input can't clash with computed ones."""
     return df.select(*[F.col(n) for n in names])
@@ -58,6 +94,18 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def dictionary_of(samples: list[bytes], size: int) -> bytes:
+    """A Zstandard dictionary of at most ``size`` bytes trained on the samples; few or alike samples, on which training fails, make one of their plain content."""
+    import zstandard
+
+    parts = samples if len(samples) >= 64 else [s[i : i + 256] for s in samples for i in range(0, len(s), 256)]
+    try:
+        return zstandard.train_dictionary(size, parts).as_bytes()
+    except zstandard.ZstdError:
+        joined = b"".join(samples)[-size:]
+        return (joined * (1 + 64 // max(1, len(joined))))[:size]
+
+
 def fmix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values; wraps on overflow."""
     x = x.astype(np.uint64, copy=True)
@@ -152,13 +200,12 @@ def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return raw, starts, ends, np.diff(np.searchsorted(starts, edge))
 
 
-def id_filter(ids: DataFrame, column: str, most_bits: int = 1 << 27) -> np.ndarray:
-    """A bitmap, of at most ``most_bits`` bits at any size of the input, that has the bit of every id set.
+def id_filter(ids: DataFrame, column: str, bits: int = 1 << 26) -> np.ndarray:
+    """A bitmap of ``bits`` bits, at any size of the input, that has the bit of every id set.
 
     It lets a scan drop most rows of other ids before a join; what passes still has to be joined.
+    Only the words with a bit set travel, at most ``bits / 64`` of them.
     """
-    n = ids.count()
-    bits = min(most_bits, max(1 << 16, 1 << (16 * n).bit_length()))
 
     def run(batches):
         import pyarrow as pa

@@ -35,40 +35,58 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _local(batches):
+    """The edges of a partition as a forest over the vertices it has seen."""
     import pyarrow as pa
 
     a = b = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        a = np.concatenate([a, batch.column(0).to_numpy()])
-        b = np.concatenate([b, batch.column(1).to_numpy()])
+        a, b = np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()])
         if len(a) > 500_000:
             a, b = forest(a, b)
     a, b = forest(a, b)
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["hi", "lo"])
 
 
+def _hooked(batches):
+    """As ``_local``, with 1 as ``again`` if a vertex of the partition had several smaller neighbours."""
+    import pyarrow as pa
+
+    again, smallest = 0, None
+    a = b = np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        hi, lo = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not again:  # rows come in the order of hi
+            first = np.append(True, hi[1:] != hi[:-1])
+            before = np.append(smallest[1] if smallest and smallest[0] == hi[0] else lo[0], lo[:-1]) if len(hi) else lo
+            if smallest and len(hi) and smallest[0] == hi[0]:
+                first[0] = False
+            again = int((~first & (lo != before)).any())
+            smallest = (hi[-1], lo[-1]) if len(hi) else smallest
+        a, b = np.concatenate([a, hi]), np.concatenate([b, lo])
+        if len(a) > 500_000:
+            a, b = forest(a, b)
+    a, b = forest(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), again, dtype=np.int32))], ["hi", "lo", "again"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): every vertex of an edge and the smallest vertex reachable from it.
 
-    Each partition first replaces its edges by a forest over the vertices it has seen. Then,
-    until no vertex has two smaller neighbours, a vertex keeps its smallest one and hands the
-    others on to it; at last each vertex follows its parents, twice as far at every step. Each
-    step is written to the shared folder and joined as plain exchanges, so that the rows of a
-    vertex with many neighbours can be split. Null ends and loops are dropped.
+    Each partition first replaces its edges by a forest over the vertices it has seen, so a
+    vertex has at most one smaller neighbour per partition however many edges it has. Then, a
+    shuffle a round, the edges of a vertex meet and are replaced by a forest again, until no
+    vertex has two smaller neighbours; at last each vertex follows its parents, twice as far at
+    every step. Every second round is written to the shared folder. Null ends and loops are dropped.
     """
     e = edges.select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo"))
     e = e.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).filter("hi <> lo")
-    e = stored(e.mapInArrow(_local, "hi long, lo long"), "edges")
+    e = e.mapInArrow(_local, "hi long, lo long")
+    met = lambda x: x.select("hi", "lo").repartition("hi").sortWithinPartitions("hi").mapInArrow(_hooked, "hi long, lo long, again int")
     while True:
-        mins = stored(e.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")), "edges-min")
-        if (mins.agg(F.max("n")).first()[0] or 0) <= 1:
-            parents = mins.select("hi", F.col("m").alias("lo"))
+        e = stored(met(met(e)), "edges")
+        if not e.agg(F.max("again")).first()[0]:
             break
-        many = mins.filter("n > 1").select(F.col("hi").alias("v"), "m")
-        handed = e.join(many, e["hi"] == many["v"]).filter("lo <> m")
-        handed = handed.select(F.greatest("lo", "m").alias("hi"), F.least("lo", "m").alias("lo")).distinct()
-        kept = mins.select("hi", F.col("m").alias("lo"))
-        e = stored(handed.union(kept).repartition("hi").mapInArrow(_local, "hi long, lo long"), "edges")
+    parents = e.select("hi", "lo")
     while True:
         up = parents.select(F.col("hi").alias("p"), F.col("lo").alias("q"))
         step = parents.join(up, parents["lo"] == up["p"], "left")
@@ -76,5 +94,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         parents = step.select("hi", "lo")
         if not step.agg(F.max("moved")).first()[0]:
             break
-    roots = parents.groupBy("lo").agg(F.lit(1).alias("one")).select(F.col("lo").alias("id"), F.col("lo").alias("component"))
+    roots = parents.select(F.col("lo").alias("id")).distinct().withColumn("component", F.col("id"))
     return parents.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(roots)

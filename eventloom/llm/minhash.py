@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from eventloom.llm.common import fmix, id_filter, may_hold, ranges, span_hashes, stored, text_batches
+from eventloom.llm.common import fmix, id_filter, may_hold, ranges, scratch, span_hashes, stored, text_batches, unused
 from eventloom.llm.components import components
 
 #: Components of a signature, chunks they are split into, wrong components allowed in a chunk, bits kept of each.
@@ -113,7 +113,7 @@ def profile(docs: DataFrame, words: int) -> DataFrame:
 
 
 def with_keys(classes: DataFrame) -> DataFrame:
-    """(key, rep) for each class and kept choice of components."""
+    """(key, c, doc) for each class and kept choice of components."""
 
     def run(batches):
         import pyarrow as pa
@@ -121,17 +121,21 @@ def with_keys(classes: DataFrame) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, 5000):
                 part = batch.slice(s, 5000)
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint32).reshape(-1, COMPONENTS)
+                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint32).reshape(-1, COMPONENTS)
                 keys = keys_of(sig)
-                columns = [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "rep"])
+                columns = [pa.array(keys.ravel().view(np.int64)), *[pa.array(np.repeat(part.column(k).to_numpy(), keys.shape[1])) for k in (0, 1)]]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "c", "doc"])
 
-    return classes.select("rep", "signature").mapInArrow(run, "key long, rep long")
+    return classes.select("c", "doc", "signature").mapInArrow(run, "key long, c long, doc long")
 
 
-def sets_of(docs: DataFrame, used: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): the shingle sets of the documents in ``used`` (one column of distinct ids, "used")."""
-    given = docs.sparkSession.sparkContext.broadcast(id_filter(used, "used"))  # at most 16 MB
+def sets_of(docs: DataFrame, classes: DataFrame, used: DataFrame, words: int) -> DataFrame:
+    """(id, of, n, signature, shingles): class, smallest doc_id, size, signature and whole set of the classes whose doc_id is in ``used`` ("doc").
+
+    The texts are read again, and only those that ``used`` may hold are cut into shingles again,
+    since sets of all documents would take more room than the documents.
+    """
+    given = docs.sparkSession.sparkContext.broadcast(id_filter(used, "doc"))  # 8 MB
 
     def run(batches):
         import pyarrow as pa
@@ -141,25 +145,30 @@ def sets_of(docs: DataFrame, used: DataFrame, words: int) -> DataFrame:
             batch = batch.filter(pa.array(may_hold(sought, batch.column(0).to_numpy(zero_copy_only=False))))
             for keys, texts in text_batches([batch]):
                 hashes, count = shingle_hashes(texts, words)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))], ["id", "shingles"])
+                full = count > 0
+                if not full.any():
+                    continue
+                f1, f2 = fingerprints(hashes, count[full])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(count[full])]), pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([keys.filter(pa.array(full)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], ["of", "g1", "g2", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    sets = rows.mapInArrow(run, "id long, shingles array<long>")
-    sets = sets.join(used, sets["id"] == used["used"], "left_semi")
-    return stored(sets.groupBy("id").agg(F.min("shingles").alias("shingles")), "shingle-sets")
+    sets = rows.mapInArrow(run, "of long, g1 long, g2 long, shingles array<long>")
+    sets = sets.groupBy("of", "g1", "g2").agg(F.first("shingles").alias("shingles"))  # rows that repeat
+    sets = classes.join(sets, (F.col("doc") == F.col("of")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")))
+    return stored(sets.select(F.col("c").alias("id"), "of", F.col("n_shingles").alias("n"), "signature", "shingles"), "shingle-sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) with 100 * |A & B| >= percent * |A | B| on the full sets."""
-    used = stored(pairs.select(F.explode(F.array("a", "b")).alias("used")).distinct(), "used-ids")
-    sets = sets_of(docs, used, words)
-    left = sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("id").alias("b_id"), F.col("shingles").alias("right"))
-    both = pairs.join(right, F.col("b") == F.col("b_id")).join(left, F.col("a") == F.col("a_id"))
-    both = both.withColumn("common", F.size(F.array_intersect("left", "right")))
-    linked = F.expr(f"100L * common >= {int(percent)}L * (size(left) + size(right) - common)")
-    return both.filter(linked).select("a", "b")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), as doc_ids, of those pairs (first, c) of classes with 100 * |A & B| >= percent * |A | B| on the full sets."""
+    left = sets.select(F.col("id").alias("a_id"), F.col("of").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("id").alias("b_id"), F.col("of").alias("b"), F.col("shingles").alias("right"))
+    both = pairs.join(right, F.col("c") == F.col("b_id")).join(left, F.col("first") == F.col("a_id"))
+    possible = F.expr(f"100L * least(size(left), size(right)) >= {int(percent)}L * greatest(size(left), size(right))")
+    common = F.when(possible, F.size(F.array_intersect("left", "right"))).otherwise(0)
+    both = both.withColumn("common", common)
+    return both.filter(F.expr(f"100L * common >= {int(percent)}L * (size(left) + size(right) - common)")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -173,68 +182,68 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     components of each chunk is struck out. At a similarity of 0.8, more than DISTANCE errors
     come with probability 1e-5 per pair.
 
-    Equal sets are one class, represented by its smallest doc_id. First, each class is compared
-    with the smallest class of each of its buckets (found by partial minima, so a bucket of any
-    size is split over tasks); then, in buckets that still hold several components, all pairs
-    from different components within DISTANCE, in tiles of bounded size that return only links
-    that join something. No pair of classes is left out, and none is written out that links nothing.
+    Equal sets are one class, with a number of its own. First, each class is compared with the
+    first class of each of its buckets (found by partial minima, so a bucket of any size is
+    split over tasks); then, where the classes that met one first class aren't in one component
+    yet, all pairs of them from different components within DISTANCE, in tiles of bounded size
+    that return only links that join something. Two classes of one bucket share its first class,
+    so no pair is left out, and none is written out that links nothing.
 
     A null, empty or blank text has no shingles and links with nothing. A row with a null doc_id
-    links with nothing and has a null component; repeated doc_ids with different texts count as
-    linked with each other, being one document. An empty table gives an empty result; other
+    links with nothing and has a null component. Rows that repeat a doc_id are one document,
+    linked with all that any of its texts links with. An empty table gives an empty result; other
     columns are not read.
     """
-    facts = stored(profile(docs, words), "profiles")
+    with scratch(docs.sparkSession):
+        facts = stored(profile(docs, words).withColumn("row", F.monotonically_increasing_id()), "profiles")
+        labels, _ = grouped(docs, facts, words, percent)
+        labels = stored(labels, "near-labels", kept=True)
+    return labels.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def grouped(docs: DataFrame, facts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, component_id) of every row of ``facts``, and the doc_ids that repeat: (again)."""
     full = facts.filter("doc_id is not null and signature is not null")
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.count("*").alias("n"))
+    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("row").alias("c"), F.min("doc_id").alias("doc"), F.min("signature").alias("signature"))
     classes = stored(classes, "shingle-classes")
-    unique = stored(classes.groupBy("rep").agg(F.min("signature").alias("signature")), "class-signatures")
-    firsts = with_keys(unique).groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    firsts = stored(firsts.select(F.col("key").alias("bucket"), "first"), "buckets")
-    keyed = with_keys(unique)
-    shared = stored(keyed.join(firsts, keyed["key"] == firsts["bucket"]).select("key", "rep", "first"), "bucket-members")
-    star = shared.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    star = stored(star, "star-pairs")
-    linked = stored(confirmed(star, docs, words, percent), "star-links")
-    # copies of one document under several classes (a doc_id that repeats with other texts)
-    same = full.join(classes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("m"), "rep"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") == F.col("m")))
-    member = stored(same.select(F.col("doc_id").alias("member"), "rep"), "class-members")
-    joint = member.filter("member <> rep").select(F.col("member").alias("a"), F.col("rep").alias("b"))
-    groups = stored(components(linked), "star-components").withColumnsRenamed({"id": "vertex", "component": "group"})
-    held = shared.join(groups, shared["rep"] == groups["vertex"], "left").select("key", "first", "rep", F.coalesce("group", "rep").alias("group"))
-    held = stored(held, "bucket-groups")
-    mixed = held.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select(F.col("key").alias("mixed"))
-    mixed = stored(mixed, "mixed-buckets")
-    open_ = held.join(mixed, held["key"] == mixed["mixed"])
-    open_ = stored(open_.groupBy("first", "rep").agg(F.min("group").alias("group")), "mixed-members")
-    linked = linked.union(cross_links(open_, unique, docs, words, percent))
-    found = stored(components(linked.union(joint)), "near-components").withColumnsRenamed({"id": "vertex", "component": "component_id"})
-    out = facts.select("doc_id", "n_shingles")
-    out = out.join(found, out["doc_id"] == found["vertex"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-
-
-def cross_links(members: DataFrame, unique: DataFrame, docs: DataFrame, words: int, percent: int, side: int = 1024) -> DataFrame:
-    """Links (a, b) that connect what the links between different groups of one bucket connect.
-
-    members: (first, rep, group), a row per class of a bucket and the bucket's first class.
-    Classes that buckets chain together make a cluster; one of n classes is cut by a hash into
-    ceil(n / side) parts, and each pair of parts is a tile that holds the full sets. A tile
-    compares the classes of different groups whose signatures differ in at most DISTANCE
-    components and returns a link only where it joins two groups, so it has fewer links than classes.
+    keyed = with_keys(classes)
+    firsts = keyed.groupBy("key").agg(F.min("c").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("bucket"), "first")
+    stars = stored(keyed.join(firsts, keyed["key"] == firsts["bucket"]).select("first", "c", "doc").distinct(), "stars")
+    sets = sets_of(docs, classes, stars, words)
+    linked = stored(confirmed(stars.filter("first <> c"), sets, percent), "star-links")
+    groups = components(linked).withColumnsRenamed({"id": "vertex", "component": "group"})
+    held = stars.join(groups, stars["doc"] == groups["vertex"], "left").select("first", "c", F.coalesce("group", "doc").alias("group"))
+    links = linked.union(cross_links(stored(held, "star-groups"), sets, percent))
+    # texts of one doc_id in several classes, the empty set being one
+    repeats = facts.filter("doc_id is not null").groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n"), F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("n > 1")
+    repeats = stored(repeats.select("again", (F.col("lo") != F.col("hi")).alias("unlike")), "repeated-ids")
+    named = classes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("m"), "doc")
+    same = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") == F.col("m"))
+    unlike = full.join(repeats.filter("unlike"), full["doc_id"] == repeats["again"], "left_semi")
+    joint = unlike.join(named, same).filter("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+    found = components(links.union(joint)).withColumnsRenamed({"id": "vertex", "component": "component_id"})
+    member = facts.filter("doc_id is not null").join(named, same, "left").select("doc_id", "n_shingles", F.coalesce("doc", "doc_id").alias("doc"))
+    member = member.join(found, member["doc"] == found["vertex"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
+    nameless = facts.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return member.union(nameless), repeats.select("again")
+
+
+def cross_links(members: DataFrame, sets: DataFrame, percent: int, side: int = 256) -> DataFrame:
+    """Links (a, b), as doc_ids, that connect what the links between different groups of one star connect.
+
+    members: (first, c, group), a row per first class and class that met it. The classes of a
+    star with several groups are cut by a hash into ceil(n / side) parts, and each pair of parts
+    is a tile that holds the full sets. A tile compares the classes of different groups whose
+    signatures differ in at most DISTANCE components and returns a link only where it joins two
+    groups, so it has fewer links than classes.
     """
-    chains = stored(components(members.select(F.col("first").alias("a"), F.col("rep").alias("b"))), "clusters").withColumnsRenamed({"id": "vertex", "component": "cluster"})
-    rows = members.groupBy("rep").agg(F.min("group").alias("group"))
-    rows = stored(rows.join(chains, rows["rep"] == chains["vertex"]).select("rep", "group", "cluster"), "cluster-members")
-    sizes = stored(rows.groupBy("cluster").agg(F.expr(f"cast(ceil(count(*) / {side}) as int)").alias("parts")).select(F.col("cluster").alias("of_cluster"), "parts"), "cluster-sizes")
-    sets = sets_of(docs, rows.select(F.col("rep").alias("used")), words)
-    sig = unique.select(F.col("rep").alias("of"), "signature")
-    rows = rows.join(sizes, rows["cluster"] == sizes["of_cluster"]).join(sig, rows["rep"] == sig["of"]).join(sets, rows["rep"] == sets["id"])
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    sizes = members.groupBy("first").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.expr(f"cast(ceil(count(*) / {side}) as int)").alias("parts"))
+    sizes = sizes.filter("lo <> hi").select(F.col("first").alias("star"), "parts")
+    rows = members.join(sizes, members["first"] == sizes["star"]).join(sets, members["c"] == sets["id"])
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("c", "first"), F.col("parts")).cast("int"))
     tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = tiles.select("cluster", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "group", "signature", "shingles")
-    tiles = tiles.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    tiles = tiles.select("star", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "of", "group", "signature", "shingles")
+    tiles = tiles.repartition("star", "x", "y").sortWithinPartitions("star", "x", "y")
 
     def run(batches):
         import pyarrow as pa
@@ -261,40 +270,61 @@ def cross_links(members: DataFrame, unique: DataFrame, docs: DataFrame, words: i
 
 
 def tile_links(x: int, y: int, rows: list[tuple], percent: int) -> tuple[list[int], list[int]]:
-    """Links of a tile; rows: (part, rep, group, signature, shingles). Pairs already joined are skipped."""
-    part, rep = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    """Links of a tile; rows: (part, doc, group, signature, shingles). Pairs already joined are skipped."""
+    part, doc = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     _, group = np.unique([r[2] for r in rows], return_inverse=True)
     sig = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint32).reshape(-1, COMPONENTS)
     size = np.array([len(r[4]) for r in rows])
-    _, local = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)
-    start = np.cumsum(size) - size
-    mark = np.zeros(len(local), dtype=bool)
+    _, local, times = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True, return_counts=True)
+    shared = times[local] > 1  # what a single set holds is in no intersection
+    held = np.add.reduceat(shared, np.cumsum(size) - size, dtype=np.int64)
+    local = local[shared]
+    start = np.cumsum(held) - held
+    mark = np.zeros(len(times), dtype=bool)
     left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
     a, b = [], []
     for i in left:
         others = right[(group[right] != group[i]) & (right > i if x == y else True)]
+        others = others[(100 * np.minimum(held[others], held[i])) >= percent * np.maximum(size[others], size[i])]
         if not len(others):
             continue
         others = others[(sig[others] != sig[i]).sum(axis=1) <= DISTANCE]
-        others = others[(100 * np.minimum(size[others], size[i])) >= percent * np.maximum(size[others], size[i])]
         if not len(others):
             continue
-        own = local[start[i] : start[i] + size[i]]
+        own = local[start[i] : start[i] + held[i]]
         mark[own] = True
-        common = np.add.reduceat(mark[local[ranges(start[others], size[others])]], np.cumsum(size[others]) - size[others], dtype=np.int64)
+        common = np.add.reduceat(mark[local[ranges(start[others], held[others])]], np.cumsum(held[others]) - held[others], dtype=np.int64)
         mark[own] = False
         for j in others[100 * common >= percent * (size[i] + size[others] - common)]:
             if group[j] != group[i]:
-                a.append(int(rep[i]))
-                b.append(int(rep[j]))
+                a.append(int(doc[i]))
+                b.append(int(doc[j]))
                 group[group == group[j]] = group[i]
     return a, b
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose near-duplicate group keeps another document; rows with null ids stay."""
-    gone = near_duplicates(docs, words, percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """``docs`` with one document, the one with the smallest id, of each near-duplicate group; rows with null ids stay.
+
+    Rows that repeat a doc_id are one document and stay or go together, but for rows with equal
+    id and text, of which one stays.
+    """
+    spark = docs.sparkSession
+    with scratch(spark):
+        facts = stored(profile(docs, words).withColumn("row", F.monotonically_increasing_id()), "profiles")
+        labels, repeats = grouped(docs, facts, words, percent)
+        gone = labels.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+        gone = stored(gone, "near-copies", kept=True)
+        repeats = stored(repeats, "repeated-ids", kept=True)
+        single = repeats.isEmpty()
+    own = docs["doc_id"].cast("long")
+    out = docs.join(gone, own == gone["gone"], "left_anti")
+    if single:
+        return out
+    text = unused("text_key", docs)
+    twice = docs.join(gone, own == gone["gone"], "left_anti").join(repeats, own == repeats["again"], "left_semi")
+    twice = twice.withColumn(text, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)).dropDuplicates(["doc_id", text]).drop(text)
+    return out.join(repeats, own == repeats["again"], "left_anti").unionByName(twice)
 
 
 def op7_minhash_multi_index(spark, sf_dir: str) -> DataFrame:

@@ -107,7 +107,52 @@ def test_near_duplicates_of_nothing_and_null_ids(spark):
     got = sorted(map(tuple, minhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 3, None, False)] * 2 + [(3, 3, 3, True)] * 2 + [(5, 3, 3, False)], key=str)
     kept = minhash.drop_near_duplicates(df).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["3", "3", "None", "None"]
+    assert sorted(str(r.doc_id) for r in kept) == ["3", "None", "None"]
+
+
+def test_a_doc_id_that_repeats_loses_no_link(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    a, b = [word() for _ in range(200)], [word() for _ in range(200)]
+    changed = lambda t: " ".join([*t[:100], word(), *t[101:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, changed(a)), (3, changed(b)), (7, " ".join(word() for _ in range(50))), (7, None), (6, ""), (6, " ".join(a)), (9, "x y"), (9, "u v w"), (8, "X Y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    assert {i: c for (i, _), (c, _) in got.items()} == {1: 1, 2: 1, 3: 1, 6: 1, 7: 7, 8: 8, 9: 8}
+    assert got[6, 0] == (1, False) and got[7, 0] == (7, True)
+    out = df.selectExpr("*", "1 as gone", "2 as again", "3 as text_key", "4 as component_id", "5 as row")
+    kept = minhash.drop_near_duplicates(out)
+    assert kept.columns == out.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((i, t or "") for i, t in rows if i in (1, 7, 8))
+
+
+def test_tiles_of_a_large_star(spark, monkeypatch):
+    rng = random.Random(8)
+    template = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(60)]
+    rows = []
+    for k in range(500):
+        copy = list(template)
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(60)] = "".join(rng.choices("abcdefgh", k=5))
+        rows.append((k * 7 % 501, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = minhash.cross_links
+    monkeypatch.setattr(minhash, "cross_links", lambda *a: whole(*a, side=32))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 4).collect()}
+    sets = {i: shingles(t, 4) for i, t in rows}
+    root = roots_of(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert len(set(root.values())) > 10 and got == root
+
+
+def test_a_stored_table_goes_with_its_scratch(spark):
+    from eventloom.llm.common import scratch, stored
+
+    with scratch(spark):
+        a, b = stored(spark.range(3)), stored(spark.range(4), kept=True)
+        assert a.count() == 3
+    assert b.count() == 4
+    with pytest.raises(Exception):
+        a.union(b).count()
 
 
 def test_sql_of_the_queries(spark, tmp_path):
