@@ -33,13 +33,23 @@ def chunk_cuts(points: np.ndarray, average: int, window: int) -> np.ndarray:
     return cuts[cuts < len(points)]
 
 
-class ChunkEncoder:
-    """Encodes each distinct chunk once while it stays in a cache of bounded size.
+def run_starts(white: np.ndarray) -> np.ndarray:
+    """Places of the first of each row of white space."""
+    before = np.empty_like(white)
+    before[:1] = False
+    before[1:] = white[:-1]
+    return np.flatnonzero(white & ~before)
+
 
-    A chunk's interior runs from its first to its last white space, where every pre-token ends.
-    What lies beyond, the end of one chunk and the start of the next, is the join: it is encoded
-    again as one piece, widened over chunks without white space until both its sides are white
-    space, where the ids agree with those of the whole text.
+class ChunkEncoder:
+    """Encodes each distinct chunk once while it stays in a cache of bounded size, and repairs the joins.
+
+    What is kept of a chunk is its interior, from its first to its last white space. What lies
+    between the interiors of two chunks is the join: it is encoded again together with the last
+    word before and the first word after it, and it holds if the ids of these two words come out
+    as they do alone. Where they don't, the two chunks and the join are encoded as one piece,
+    widened by a chunk on either side until what it shares with the outermost chunks agrees with
+    their ids, or the piece is the whole text.
     """
 
     def __init__(self, path: str, average: int = 1024, window: int = 32, cache_chars: int = 8_000_000):
@@ -48,7 +58,7 @@ class ChunkEncoder:
         self.young: dict[str, np.ndarray] = {}
         self.old: dict[str, np.ndarray] = {}
         self.held = 0
-        self.encoded = self.reused = 0
+        self.encoded = self.reused = self.repaired = 0
 
     def _cached(self, chunk: str) -> np.ndarray | None:
         found = self.young.get(chunk)
@@ -62,57 +72,103 @@ class ChunkEncoder:
         if self.held > self.cache_chars // 2:
             self.young, self.old, self.held = {}, self.young, 0
 
+    def interiors(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(start, start of the second word, start of the last word, end) of each chunk's interior of two words or more."""
+        if self.words.spaced.search(text):
+            return []
+        points = code_points(text)
+        runs = run_starts(_LATIN_WHITE[points] if points.dtype == np.uint8 else np.isin(points, _WHITE))
+        cuts = chunk_cuts(points, self.average, self.window)
+        first = np.searchsorted(runs, np.concatenate([[0], cuts]))
+        last = np.searchsorted(runs, np.append(cuts, len(points))) - 1
+        good = last - first >= 2
+        first, last = first[good], last[good]
+        return list(zip(runs[first].tolist(), runs[first + 1].tolist(), runs[last - 1].tolist(), runs[last].tolist()))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not self.words.fast:
-            return self.words.encode(texts)
-        pieces: list[tuple[int, str, str | None]] = []  # (text, piece, chunk that it is the interior of)
-        for i, text in enumerate(texts):
-            if self.words.added.search(text):
-                pieces.append((i, text, None))
-                continue
-            points = code_points(text)
-            white = np.flatnonzero(_LATIN_WHITE[points] if points.dtype == np.uint8 else np.isin(points, _WHITE))
-            cuts = chunk_cuts(points, self.average, self.window)
-            begin = np.concatenate([[0], cuts])
-            end = np.append(cuts, len(points))
-            first, last = np.searchsorted(white, begin), np.searchsorted(white, end) - 1
-            pending = 0
-            for a, b, f, z in zip(begin.tolist(), end.tolist(), first.tolist(), last.tolist()):
-                if f < z:
-                    head, tail = int(white[f]), int(white[z])
-                    if head > pending:
-                        pieces.append((i, text[pending:head], None))
-                    pieces.append((i, text[head:tail], text[a:b]))
-                    pending = tail
-            if pending < len(text):
-                pieces.append((i, text[pending:], None))
-        results: list[np.ndarray | None] = [None] * len(pieces)
+        """(ids of all texts one after another, number of ids of each)."""
+        todo: list[str] = []
         fresh: dict[str, int] = {}
-        todo: list[int] = []
-        for k, (_, piece, chunk) in enumerate(pieces):
-            if chunk is None:
-                todo.append(k)
-            elif (known := self._cached(chunk)) is not None:
-                results[k] = known
-                self.reused += 1
-            elif chunk not in fresh:
-                fresh[chunk] = k
-                todo.append(k)
-        ids, count = self.words.encode([pieces[k][1] for k in todo])
-        at = 0
-        for k, n in zip(todo, count.tolist()):
-            results[k] = ids[at : at + n]
-            at += n
+        known: dict[str, np.ndarray] = {}
+        plans: list[tuple[list, list, list]] = []  # of a text: interiors, their texts, joins as (window, word before, word after) in todo
+        for text in texts:
+            inner = self.interiors(text)
+            chunks, joins = [text[h:t] for h, _, _, t in inner], []
+            for chunk in chunks:
+                if chunk in known or chunk in fresh:
+                    self.reused += 1
+                elif (ids := self._cached(chunk)) is not None:
+                    known[chunk] = ids
+                    self.reused += 1
+                else:
+                    fresh[chunk] = len(todo)
+                    todo.append(chunk)
+            for left, right in zip([None, *inner], [*inner, None]):
+                at = len(todo)
+                todo.append(text[left[2] if left else 0 : right[1] if right else len(text)])
+                todo.append(text[left[2] : left[3]] if left else "")
+                todo.append(text[right[0] : right[1]] if right else "")
+                joins.append(at)
+            plans.append((inner, chunks, joins))
+        ids, count = self.words.encode(todo)
+        cut = np.concatenate([[0], np.cumsum(count)])
+        piece = lambda k: ids[cut[k] : cut[k + 1]]
         for chunk, k in fresh.items():
-            self._keep(chunk, results[k].copy())
+            known[chunk] = piece(k).copy()
+            self._keep(chunk, known[chunk])
         self.encoded += len(fresh)
+        out: list[np.ndarray] = []
         total = np.zeros(len(texts), dtype=np.int64)
-        for k, (i, _, chunk) in enumerate(pieces):
-            if results[k] is None:
-                results[k] = results[fresh[chunk]]
-                self.reused += 1
-            total[i] += len(results[k])
-        return np.concatenate(results) if results else np.zeros(0, dtype=np.int32), total
+        for i, (inner, chunks, joins) in enumerate(plans):
+            parts: list[np.ndarray] | None = []
+            for j, k in enumerate(joins):
+                whole, left, right = piece(k), piece(k + 1), piece(k + 2)
+                a, b = len(left), len(whole) - len(right)
+                if a > b or not np.array_equal(whole[:a], left) or not np.array_equal(whole[b:], right):
+                    parts = None
+                    break
+                parts.append(whole[a:b])
+                if j < len(chunks):
+                    parts.append(known[chunks[j]])
+            if parts is None:
+                parts = self.repair(texts[i], inner, [known[c] for c in chunks])
+            out += parts
+            total[i] = sum(map(len, parts))
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int32), total
+
+    def _alone(self, text: str) -> np.ndarray:
+        return self.words.encode([text])[0]
+
+    def repair(self, text: str, inner: list[tuple], ids: list[np.ndarray]) -> list[np.ndarray]:
+        """Parts of the ids of a text of which some join doesn't hold."""
+        self.repaired += 1
+        pieces = [[h, n, p, t, found] for (h, n, p, t), found in zip(inner, ids)]
+        joins: list[np.ndarray | None] = [None] * (len(pieces) + 1)
+        j = 0
+        while j <= len(pieces):
+            left, right = pieces[j - 1] if j else None, pieces[j] if j < len(pieces) else None
+            whole = self._alone(text[left[2] if left else 0 : right[1] if right else len(text)])
+            before = self._alone(text[left[2] : left[3]]) if left else whole[:0]
+            after = self._alone(text[right[0] : right[1]]) if right else whole[:0]
+            a, b = len(before), len(whole) - len(after)
+            if a <= b and np.array_equal(whole[:a], before) and np.array_equal(whole[b:], after):
+                joins[j] = whole[a:b]
+                j += 1
+                continue
+            lo, hi = j - 1, j
+            while True:
+                if lo < 0 or hi >= len(pieces):
+                    return [self._alone(text)]
+                wide = self._alone(text[pieces[lo][0] : pieces[hi][3]])
+                head = pieces[lo][4][: len(pieces[lo][4]) - len(self._alone(text[pieces[lo][2] : pieces[lo][3]]))]
+                tail = pieces[hi][4][len(self._alone(text[pieces[hi][0] : pieces[hi][1]])) :]
+                if len(head) + len(tail) <= len(wide) and np.array_equal(wide[: len(head)], head) and np.array_equal(wide[len(wide) - len(tail) :], tail):
+                    break
+                lo, hi = lo - 1, hi + 1
+            pieces[lo : hi + 1] = [[pieces[lo][0], pieces[lo][1], pieces[hi][2], pieces[hi][3], wide]]
+            joins = [*joins[: lo + 1], *[None] * (len(pieces) - lo)]
+            j = lo + 1
+        return [x for k, join in enumerate(joins) for x in ([join, pieces[k][4]] if k < len(pieces) else [join])]
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
@@ -137,10 +193,11 @@ def encode_decode(
     """Ids of every whole text and the text decoded from them: (id, ids array<int>, decoded string).
 
     Equal to the ``tokenizers`` library's ``encode(text, add_special_tokens=False)`` and
-    ``decode(ids, skip_special_tokens=False)`` without truncation or padding. Chunks are cut
-    where a rolling hash of the content says so; equal chunks are encoded once per worker
-    process while they are among the last ``cache_chars`` characters seen. No shuffle: texts
-    stay in the tasks that read them, so no key can be hot and a lost task is simply repeated.
+    ``decode(ids, skip_special_tokens=False)`` without truncation or padding, for any vocabulary
+    file of that library that parts texts at white space. Chunks are cut where a rolling hash of
+    the content says so; equal chunks are encoded once per worker process while they are among
+    the last ``cache_chars`` characters seen (see ``ChunkEncoder`` for the joins). No shuffle:
+    texts stay in the tasks that read them, so no key can be hot and a lost task is simply repeated.
 
     A null or empty text has no ids and decodes to the empty string. Repeated rows and null ids
     are kept as they are. An empty table gives an empty result. Other columns are not read.

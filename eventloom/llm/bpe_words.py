@@ -66,6 +66,7 @@ class WordEncoder:
         self.plain_decoder = spec.get("decoder") is None
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.spaced = re.compile("|".join(re.escape(t) for t in added if re.search(r"\s", t)) or r"(?!)")  # texts with these have no safe cut
         self.max_words = max_words
         self._reset()
 

@@ -59,6 +59,61 @@ def test_equal_chunks_are_encoded_once():
 
 def test_small_cache_changes_nothing(texts, tok):
     rows = [t or "" for _, t in texts[0]]
+def test_chunks_of_another_vocabulary_equal_the_library(texts, spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    coder = bpe_chunks.ChunkEncoder(path, average=64)
+    rows = [t or "" for _, t in texts[0]] + ["a  b   c\n\n d " * 300, "<|endoftext|> x<|endoftext|>y \t z" * 60]
+    ids, count = coder.encode(rows)
+    at = 0
+    for t, n in zip(rows, count.tolist()):
+        assert ids[at : at + n].tolist() == library.encode(t, add_special_tokens=False).ids
+        at += n
+    assert coder.reused > 100
+    got = {r.doc_id: r for r in bpe_chunks.encode_decode(texts[1], path).collect()}
+    for i, t in texts[0]:
+        assert got[i].ids == library.encode(t or "", add_special_tokens=False).ids and got[i].decoded == library.decode(got[i].ids, skip_special_tokens=False)
+
+
+def test_joins_are_widened_until_they_agree(tmp_path):
+    """A vocabulary of which an added token takes the white space around it, so that words next to joins change."""
+    import public_tokenizers
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    n = max(t["id"] for t in spec["added_tokens"])
+    spec["added_tokens"].append({"id": n + 1, "content": "MARK", "single_word": False, "lstrip": True, "rstrip": True, "normalized": False, "special": False})
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps(spec))
+    library = Tokenizer.from_file(str(path))
+    rng = random.Random(1)
+    coder = bpe_chunks.ChunkEncoder(str(path), average=64, window=8)
+    rows = [" ".join(rng.choices(["MARK", "word", "other words", "MARKMARK", "x"], weights=[3, 6, 4, 1, 3], k=rng.randint(1, 300))) for _ in range(60)]
+    ids, count = coder.encode(rows)
+    at = 0
+    for t, n in zip(rows, count.tolist()):
+        assert ids[at : at + n].tolist() == library.encode(t, add_special_tokens=False).ids
+        at += n
+    assert coder.repaired > 10
+
+
+def test_columns_of_the_encoding_queries(texts, tok, tmp_path):
+    rows, df = texts
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark = df.sparkSession
+    six, four = bpe_chunks.op6_bpe_chunks(spark, str(tmp_path)), token_files.op4_token_files(spark, str(tmp_path))
+    assert six.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and four.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    want6, want4, at = {}, {}, 0
+    for i, t in sorted(rows):
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want6[i] = (i, len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
+        want4[i] = (i, at, len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes()))
+        at += len(ids) + 1
+    assert {r.doc_id: tuple(r) for r in six.collect()} == want6 and {r.doc_id: tuple(r) for r in four.collect()} == want4
+
+
     coder = bpe_words.WordEncoder(bpe_words.default_vocabulary(), max_words=50)
     for t in rows:
         ids, _ = coder.encode([t])
