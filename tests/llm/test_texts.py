@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
+from pyspark.sql import functions as F
 
 from eventloom.llm import bpe_chunks, bpe_words, decontam, html_blocks, secrets, token_files, toolcalls, toxicity, warc_zdict
 from eventloom.llm.common import open_fs
@@ -296,6 +297,39 @@ def test_schemas():
     assert toolcalls.problems(True, {"type": "integer"}) and not toolcalls.problems(2.0, {"type": "integer"})
 
 
+def test_no_text_stops_the_scan(spark):
+    rng = random.Random(2)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = ["x " + "a/" * 500_000 + "A1b", "y " + "/a9" * 300_000, "z " + "".join(rng.choices(alphabet, k=60_000)), "h " + "".join(rng.choices("0123456789abcdef", k=60_000)),
+            "r " + "Ab1+" * 200_000, "token=" + "a" * 1_000_000, "AKIA" + "A1" * 300_000, "s " + ("".join(rng.choices(alphabet, k=26)) + "a" * 40) * 800]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: [tuple(s) for s in r.secrets] for r in secrets.scan(df).collect()}
+    for i, t in enumerate(rows):
+        assert got[i] == sorted(set(base_spans(t) + (entropy_spans(t) if i in (2, 3, 7) else []))), i
+    assert len(got[7]) > 100
+
+
+def test_columns_of_the_secrets_query(spark, tmp_path):
+    rng = random.Random(5)
+    value = lambda k, a="0123456789abcdef": "".join(rng.choices(a, k=k))
+    rows = [(1, None), (2, ""), (None, "token=abcdef1")]
+    for i in range(3, 60):
+        rows.append((i, " ".join(rng.choice(["words é", f"api_key = '{value(8)}'", f"AKIA{value(rng.randint(10, 24), 'ABCDEF123')}", value(rng.randint(20, 40)), "passwd:x", f"😀{value(30)}"]) for _ in range(rng.randint(1, 8)))))
+    rows.append(rows[-1])
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as spans", "2 as secrets").write.parquet(f"{tmp_path}/documents.parquet")
+    out = secrets.op3_entropy_secrets(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    want = []
+    for i, t in rows:
+        base = sorted(base_spans(t or ""))
+        listed = lambda spans: ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+        n = collections.Counter(k for *_, k in base)
+        want.append((i, n["assign"], n["access"], n["hex"], hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(set(base + entropy_spans(t or ""))))))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    red = secrets.redact(spark.createDataFrame([(1, "token=abcdef1", "kept")], "doc_id long, text string, spans string").withColumn("__spans", F.lit(3)))
+    assert [tuple(r) for r in red.collect()] == [(1, "[SECRET]", "kept", 3)]
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
