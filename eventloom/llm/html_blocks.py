@@ -19,7 +19,7 @@ CLOSED = frozenset("noscript template svg select button object audio video canva
 FLAT = frozenset("select button audio video canvas".split())
 #: One piece of markup at a time; raw elements run to their own end tag or to the end of the page, options to the next tag.
 PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*\Z)"
     r"|<option(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>[^<]*"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
@@ -30,7 +30,7 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd la
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot h1 h2 h3 h4 h5 h6 body html".split())
 #: Containers of what is never the article.
-BOILER_TAGS = frozenset("nav footer aside form menu dialog head".split())
+BOILER_TAGS = frozenset("nav footer aside menu dialog head".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog menu menubar alert form".split())
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu "
@@ -38,7 +38,16 @@ BOILER_WORDS = frozenset(
     "privacy popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended "
     "recommendations comment comments disqus reply replies widget toolbar pagination pager copyright legal disclaimer".split()
 )
+#: Words that say where a container stands or what it is made of: a name of these and of BOILER_WORDS only is that of boilerplate.
+NEUTRAL_WORDS = frozenset(
+    "site page main top bottom left right primary secondary global local inner outer upper lower center box block section container wrapper wrap "
+    "area bar slot unit list links link button buttons item items panel row col column content text body post posts article articles user form group area js".split()
+)
+#: Words that turn the meaning of a name: a container "with-sidebar" is none.
+TURNING_WORDS = frozenset("with without no has have had hide hides show shows less free not non".split())
 COMMENT_WORDS = frozenset("comment comments disqus reply replies discussion".split())
+#: How sure it is that a container is boilerplate: not at all, a form (pages are wrapped in forms), by its name, by its element or role.
+PLAIN, FORM, NAMED, HARD = range(4)
 #: Frequent function words of the languages served (a fixed list).
 STOP_WORDS = frozenset(
     "the and of to in a is that it for with on as was be by this are from or an at not have you but they his her which "
@@ -49,6 +58,17 @@ STOP_WORDS = frozenset(
 ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in CLOSED}
 STARTS = {tag: re.compile(rf"<{tag}(?=[\s/>])", re.I) for tag in FLAT}
 WORD = re.compile(r"[^\W\d_]+")
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+
+
+def named_boilerplate(names: str) -> set[str]:
+    """Words of those of the names (of classes or an id) that say boilerplate and nothing else."""
+    found: set[str] = set()
+    for name in names.split():
+        words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())) - {""}
+        if words & BOILER_WORDS and words <= BOILER_WORDS | NEUTRAL_WORDS:
+            found |= words
+    return found
 
 
 @dataclass
@@ -57,24 +77,24 @@ class Block:
 
     text: str
     links: int  # characters inside links
-    boiler: bool  # inside a container that is never the article
+    level: int  # PLAIN, FORM, NAMED or HARD: the surest of the boilerplate containers around it
     article: bool  # inside <article> or <main>
     heading: bool
-    teaser: bool = False  # inside <article> or <main> of such a container
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in page order, tags removed, references decoded, white space joined."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, boilerplate, article, reader comments, teaser
+    stack: list[tuple[str, int, bool]] = []  # tag, level, article
+    opened: dict[str, int] = {}  # how often a tag is on the stack
     parts: list[str] = []
     state = {"links": 0, "anchor": False, "heading": False}
-    boiler = article = teaser = False
+    level, article = PLAIN, False
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            found.append(Block(text, min(state["links"], len(text)), boiler, article, state["heading"], teaser))
+            found.append(Block(text, min(state["links"], len(text)), level, article, state["heading"]))
         parts.clear()
         state["links"] = 0
 
@@ -122,47 +142,50 @@ def blocks_of(page: str) -> list[Block]:
             state["heading"] = not closing
         elif tag in LOOSE and tag not in ("body", "html"):
             state["heading"] = False
-        if tag in VOID or tag in LOOSE:
-            if not (tag in LOOSE and not closing and (m["attrs"] or m["attrs2"] or "").strip()):
-                if not (closing and any(s[0] == tag for s in stack)):
-                    continue
+        attrs = "" if closing else m["attrs"] or m["attrs2"] or ""
+        if tag in VOID or tag in LOOSE and not attrs.strip() and not (closing and opened.get(tag)):
+            continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while opened.get(tag):
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == tag:
                     break
             else:
                 continue
         else:
-            attrs = m["attrs"] or m["attrs2"] or ""
             if attrs.rstrip().endswith("/") and tag not in ("div", "section", "article", "main", "p"):
                 continue
-            outer_boiler, outer_article, outer_teaser = (stack[-1][1], stack[-1][2], stack[-1][4]) if stack else (False, False, False)
-            names = set()
-            if attrs:
-                for key, value in re.findall(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", attrs, re.I):
-                    value = value.strip("\"'").lower()
-                    if key.lower() == "role":
-                        names |= BOILER_ROLES & {value} and {"banner"}
-                    else:
-                        names |= set(re.split(r"[^a-z]+", value))
-            if tag in LOOSE and not names & BOILER_WORDS:
+            names, hard = set(), tag in BOILER_TAGS or tag == "header" and not article
+            for key, value in ATTRIBUTE.findall(attrs):
+                value = value.strip("\"'")
+                if key.lower() == "role":
+                    hard |= value.lower() in BOILER_ROLES
+                else:
+                    names |= named_boilerplate(value)
+            if tag in LOOSE and tag not in ("body", "html") and not names and not hard:
                 continue
-            bad = tag in BOILER_TAGS or bool(names & BOILER_WORDS) or tag == "header" and not outer_article
-            if tag in ("article", "main") and not names & COMMENT_WORDS and not any(s[3] for s in stack):
-                stack.append((tag, False, True, False, outer_boiler or outer_teaser))
-            elif tag in ("body", "html"):
-                stack.append((tag, False, outer_article, False, False))
+            if tag in ("body", "html"):
+                entry = (tag, PLAIN, article)
+            elif tag in ("article", "main") and not names & COMMENT_WORDS and level <= FORM:
+                entry = (tag, PLAIN, True)
             else:
-                discussed = bool(names & COMMENT_WORDS)
-                stack.append((tag, outer_boiler or bad, outer_article, discussed, outer_teaser))
-        boiler, article, teaser = (stack[-1][1], stack[-1][2], stack[-1][4]) if stack else (False, False, False)
+                own = HARD if hard else NAMED if names else FORM if tag == "form" else PLAIN
+                entry = (tag, max(level, own), article or tag in ("article", "main"))
+            stack.append(entry)
+            opened[tag] = opened.get(tag, 0) + 1
+        level, article = stack[-1][1:] if stack else (PLAIN, False)
     if at < len(page):
         say(page[at:])
     flush()
     return found
 
 
+def stop_share(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def labels_of(blocks: list[Block], long_block: int = 140, short_block: int = 60, density: float = 0.18, linked: float = 0.4) -> list[bool]:
     """Which blocks are main text.
 
@@ -170,40 +193,33 @@ def labels_of(blocks: list[Block], long_block: int = 140, short_block: int = 60,
     blocks of middle length with many stop words, are in; where the page marks its article,
     blocks outside it are out. The rest is ambiguous. Second pass: an ambiguous block takes the
     label of the nearest decided block, first among those of its own region (inside or outside
-    the marked article); of two as near that differ, the one that is in.
+    the marked article); of two as near that differ, the one that is in. Where no block is
+    decided, an ambiguous one is in if it has a stop word or is the page's only one.
 
-    Articles inside a boilerplate container are teasers, and out, where the page holds an article
-    or a block of prose elsewhere; else the container is taken for a wrapper of the whole page.
+    Boilerplate is what an element or role says, or a class or id that names nothing else
+    ("sidebar", "cookie-notice"; not "with-sidebar" or "privacy-law-essay"). Where a page has
+    no prose outside such containers, those that only a name condemns give up their articles,
+    and forms what they hold: these are wrappers of the whole page.
     """
 
-    def main(b: Block) -> bool:
-        words = WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        prose = len(b.text) >= long_block and stops >= density / 2 or len(b.text) >= short_block and stops >= density
-        return b.article or prose and not b.heading and b.links <= linked * len(b.text)
+    def prose(b: Block) -> bool:
+        stops = stop_share(b.text)
+        return not b.heading and b.links <= linked * len(b.text) and (len(b.text) >= long_block and (b.article or stops >= density / 2) or len(b.text) >= short_block and stops >= density)
 
-    if any(b.teaser for b in blocks) and any(not b.boiler and not b.teaser and main(b) for b in blocks):
-        blocks = [replace(b, boiler=True, article=False) if b.teaser else b for b in blocks]
-    marked = any(b.article and not b.boiler for b in blocks)
+    if not any(b.level == PLAIN and (b.article or prose(b)) for b in blocks):
+        if any(b.level == NAMED and b.article for b in blocks):
+            blocks = [replace(b, level=PLAIN) if b.level == NAMED and b.article else b for b in blocks]
+        elif any(b.level == FORM and prose(b) for b in blocks):
+            blocks = [replace(b, level=PLAIN) if b.level == FORM else b for b in blocks]
+    marked = any(b.article and b.level == PLAIN for b in blocks)
     decided: list[bool | None] = []
     for b in blocks:
-        words = WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        share = b.links / len(b.text)
-        if b.boiler or marked and not b.article:
+        if b.level != PLAIN or marked and not b.article or b.links > (0.9 if b.article else linked) * len(b.text):
             decided.append(False)
-        elif share > (0.9 if b.article else linked):
-            decided.append(False)
-        elif b.heading:
-            decided.append(None)
-        elif len(b.text) >= long_block and (b.article or stops >= density / 2):
-            decided.append(True)
-        elif len(b.text) >= short_block and stops >= density:
-            decided.append(True)
         else:
-            decided.append(None)
+            decided.append(True if prose(replace(b, links=0)) else None)
     known = [j for j, d in enumerate(decided) if d is not None]
-    regions = {r: [j for j in known if blocks[j].article == r and not blocks[j].boiler] for r in (False, True)}
+    regions = {r: [j for j in known if blocks[j].article == r and blocks[j].level == PLAIN] for r in (False, True)}
     out: list[bool] = []
     for k, b in enumerate(blocks):
         if decided[k] is not None:
@@ -213,7 +229,10 @@ def labels_of(blocks: list[Block], long_block: int = 140, short_block: int = 60,
         at = bisect.bisect(near, k)
         sides = near[max(0, at - 1) : at + 1]
         gap = min((abs(j - k) for j in sides), default=0)
-        out.append(not sides or any(decided[j] for j in sides if abs(j - k) == gap))
+        if sides:
+            out.append(any(decided[j] for j in sides if abs(j - k) == gap))
+        else:
+            out.append(b.article or len(blocks) == 1 or stop_share(b.text) > 0)
     return out
 
 
