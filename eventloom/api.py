@@ -7,18 +7,33 @@ import json
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventloom.operators import analyse, compare, indexing, mine, model, query
+from eventloom.operators import analyse, compare, indexing, mine, mining, model, query
 from eventloom.operators.log import SCHEMA
-from eventloom.sources.readers import Mapping, read_log
+from eventloom.plans.matcher import Bound
+from eventloom.sources import sinks
+from eventloom.sources.readers import Mapping, json_stream, kafka_stream, read_log
 from eventloom.sources.store import LogStore
+from eventloom.streaming.index_stream import index_stream
+
+
+#: What every configuration may hold.
+COMMON = "namespace log min_timestamp as_page write_to"
+
+
+def checked(c: dict, names: str) -> None:
+    """A ValueError for a key that an endpoint doesn't know."""
+    if unknown := set(c) - set(names.split()) - set(COMMON.split()):
+        raise ValueError(f"unknown keys: {sorted(unknown)}")
 
 
 class Engine:
     """Endpoints take a configuration and return a DataFrame, a text or a dict.
 
-    Every configuration may name ``namespace`` and ``log``; see the methods for the rest.
+    Every configuration may name ``namespace``, ``log`` and ``min_timestamp``; ``as_page`` asks for
+    a page instead of rows, ``write_to`` for the rows as JSON lines in a folder, written by the
+    executors. See the methods for the rest; a key that isn't named there is an error.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -27,101 +42,159 @@ class Engine:
     def store(self, c: dict) -> LogStore:
         return LogStore(self.spark, self.root, c.get("namespace", "default"), c.get("log", "log"))
 
-    def log(self, c: dict) -> DataFrame:
-        return analyse.since(self.store(c).read("sequence_table", SCHEMA), c.get("min_timestamp"))
+    def log(self, c: dict, table: str = "sequence_table") -> DataFrame:
+        return analyse.since(self.store(c).read(table, SCHEMA), c.get("min_timestamp"))
+
+    def trace_count(self, c: dict) -> int | None:
+        """The stored number of traces, where all of the log is asked for."""
+        return None if c.get("min_timestamp") else self.store(c).facts().get("trace_count")
 
     # indexing
 
     def indexing_run(self, c: dict) -> dict:
-        """path, kind, mapping, timestamp_format, lookback, clear_existing."""
+        """path, kind, mapping, timestamp_format, lookback, clear_existing; batch, a number that makes a repeated call do nothing."""
+        checked(c, "path kind mapping timestamp_format lookback clear_existing batch")
         store = self.store(c)
         if c.get("clear_existing"):
             store.clear()
         mapping = Mapping(c["mapping"], c.get("timestamp_format")) if "mapping" in c else None
-        return indexing.ingest(store, read_log(self.spark, c["path"], mapping, c.get("kind")), c.get("lookback"))
+        return indexing.ingest(store, read_log(self.spark, c["path"], mapping, c.get("kind")), c.get("lookback"), number=c.get("batch"))
+
+    def indexing_stream(self, c: dict) -> dict:
+        """path (a folder of JSON lines) or servers and topic, checkpoint, mapping, timestamp_format, lookback, every; without ``every`` what is there is indexed and the stream ends."""
+        checked(c, "path servers topic checkpoint mapping timestamp_format lookback every")
+        mapping = Mapping(c["mapping"], c.get("timestamp_format")) if "mapping" in c else Mapping()
+        source = json_stream(self.spark, c["path"], mapping) if "path" in c else kafka_stream(self.spark, c["servers"], c["topic"], mapping, "earliest")
+        query = index_stream(source, self.store(c), c["checkpoint"], mapping, c.get("lookback"), c.get("every"))
+        if not c.get("every"):
+            query.awaitTermination()
+        return {"id": str(query.id), "facts": self.store(c).facts()}
 
     # patterns
 
     def querying_statistics(self, c: dict) -> DataFrame:
+        checked(c, "pattern")
         return query.statistics(self.store(c).read("count_table"), c["pattern"])
 
     def querying_detection(self, c: dict) -> DataFrame:
-        """pattern, support_threshold; use_index to prune by the stored pairs (only for an index without lookback)."""
-        pairs = self.store(c).read("pairs_index") if c.get("use_index") else None
-        return query.detect(self.log(c), c["pattern"], pairs, c.get("support_threshold", 0.0))
+        """pattern, support_threshold; return_all for all matches that don't overlap; constraints, a list of {kind: time or gap, from, to, least, most}
+        between the pattern's positive events, counted from 0; use_index to prune by the stored pairs, unless they were limited by a lookback."""
+        checked(c, "pattern support_threshold return_all constraints use_index")
+        store = self.store(c)
+        pairs = store.read("pairs_index") if c.get("use_index") and not store.facts().get("lookback") else None
+        bounds = [Bound(b["from"], b["to"], b.get("least"), b.get("most"), b.get("kind", "time")) for b in c.get("constraints", [])]
+        return query.detect(self.log(c, "activity_index"), c["pattern"], pairs, c.get("support_threshold", 0.0), bounds, c.get("return_all", False), self.trace_count(c))
 
     def querying_exploration(self, c: dict) -> DataFrame:
         """pattern, explore_mode (accurate, fast, hybrid), explore_k, support_threshold."""
-        return query.explore(self.log(c), self.store(c).read("count_table"), c["pattern"], c.get("explore_mode", "accurate"), c.get("explore_k", 0), c.get("support_threshold", 0.0))
+        checked(c, "pattern explore_mode explore_k support_threshold")
+        return query.explore(self.log(c, "activity_index"), self.store(c).read("count_table"), c["pattern"], c.get("explore_mode", "accurate"), c.get("explore_k", 0), c.get("support_threshold", 0.0), self.trace_count(c))
 
     # constraints
 
     def mining_run(self, c: dict) -> DataFrame:
-        """families, support_threshold, trace_ids; stores the constraint rows."""
-        store, log = self.store(c), self.log(c)
-        found = store.write("constraints", mine.constraints(log, c.get("families")))
-        return mine.supported(found, log, c.get("support_threshold", 0.0), c.get("trace_ids", False))
+        """families, support_threshold, trace_ids; stores the constraint rows, and mines again only the traces that have grown since."""
+        checked(c, "families support_threshold trace_ids")
+        log, families = self.log(c), sorted(c.get("families") or mine.FAMILIES)
+        found = mine.constraints(log, families) if c.get("min_timestamp") else mining.refresh(self.store(c), families)
+        return mine.supported(found, log, c.get("support_threshold", 0.0), c.get("trace_ids", False), n_traces=self.trace_count(c))
 
     # analysis
 
     def analysing_directly_follows(self, c: dict) -> DataFrame:
+        checked(c, "support_threshold filter_out end_time trace_based")
         return analyse.directly_follows(self.log(c), c.get("support_threshold"), c.get("filter_out", False), c.get("end_time"), c.get("trace_based", False))
 
     def analysing_loop_detection(self, c: dict) -> DataFrame:
+        checked(c, "grouping_key grouping_value support_threshold filter_out top_k trace_based")
         return analyse.loops(self.log(c), c.get("grouping_key"), c.get("grouping_value"), c.get("support_threshold"), c.get("filter_out", False), c.get("top_k"), c.get("trace_based", False))
 
     def analysing_durations(self, c: dict) -> DataFrame:
         """mode: activity or group."""
+        checked(c, "mode per_group end_time grouping_key grouping_value")
         keys = {k: c.get(k) for k in ("end_time", "grouping_key", "grouping_value")}
         return analyse.group_durations(self.log(c), **keys) if c.get("mode") == "group" else analyse.activity_durations(self.log(c), per_group=c.get("per_group", False), **keys)
 
     def analysing_attribute_deviations(self, c: dict) -> DataFrame:
         """steps, thresholds, on_rare with rare_threshold, excluded, support_threshold, filter_out."""
+        options = "steps surprise_threshold z_threshold alpha n_buckets ngram min_group_size excluded"
+        checked(c, f"{options} on_rare rare_threshold support_threshold filter_out")
         log = self.log(c)
         if c.get("on_rare"):
             log = analyse.on_rare(log, mine.ordered(log), c.get("rare_threshold", 0.9))
-        options = {k: c[k] for k in ("steps", "surprise_threshold", "z_threshold", "alpha", "n_buckets", "ngram", "min_group_size", "excluded") if k in c}
-        return analyse.deviation_records(analyse.deviations(log, **options), log, c.get("excluded"), c.get("support_threshold"), c.get("filter_out", False))
+        scored = analyse.deviations(log, **{k: c[k] for k in options.split() if k in c})
+        return analyse.deviation_records(scored, log, c.get("excluded"), c.get("support_threshold"), c.get("filter_out", False))
 
     # comparison
 
+    def compared(self, c: dict) -> DataFrame:
+        """The log without the events that repeat an activity at the same time of a trace, unless ``deduplicate`` is off."""
+        return self.log(c).dropDuplicates(["trace_id", "activity", "start_timestamp"]) if c.get("deduplicate", True) else self.log(c)
+
     def comparing_ngrams(self, c: dict) -> DataFrame:
-        """separating_group, n, conditions."""
-        log = self.log(c).dropDuplicates(["trace_id", "activity", "start_timestamp"]) if c.get("deduplicate") else self.log(c)
+        """separating_group, n, conditions, deduplicate."""
+        checked(c, "separating_group n conditions deduplicate")
+        log = self.compared(c)
         return compare.filtered(compare.ngrams(log, compare.trace_labels(log, c["separating_group"]), c.get("n", 2)), c.get("conditions", {}))
 
     def comparing_rare_rules(self, c: dict) -> DataFrame:
-        log = self.log(c)
+        checked(c, "separating_group support_pct deduplicate")
+        log = self.compared(c)
         return compare.rare_rules(mine.ordered(log), compare.trace_labels(log, c["separating_group"]), log, c.get("support_pct", 0.1))
 
     def comparing_targeted_rules(self, c: dict) -> DataFrame:
-        log = self.log(c)
+        checked(c, "separating_group target_label support_threshold filtering_support deduplicate")
+        log = self.compared(c)
         return compare.targeted_rules(mine.ordered(log), compare.trace_labels(log, c["separating_group"]), c.get("target_label", 1), c.get("support_threshold", 0.8), c.get("filtering_support", 1.0))
 
     # models
 
     def modeling_directly_follows(self, c: dict) -> DataFrame | str:
         """noise, variant_share, as_xml."""
+        checked(c, "noise variant_share as_xml")
         log = model.frequent_variants(self.log(c), c["variant_share"]) if "variant_share" in c else self.log(c)
         graph = model.without_noise(model.dfg(log), c.get("noise", 0.0))
         return model.dfg_xml(graph) if c.get("as_xml") else graph
 
     def modeling_bpmn(self, c: dict) -> str:
+        checked(c, "noise variant_share")
         log = model.frequent_variants(self.log(c), c["variant_share"]) if "variant_share" in c else self.log(c)
         return model.bpmn_xml(model.discover(log, c.get("noise", 0.0)))
 
     def call(self, name: str, c: dict):
         """The endpoint ``module/endpoint``."""
-        method = getattr(self, name.strip("/").replace("/", "_"), None)
-        if method is None or name.strip("/").count("/") != 1:
+        name = name.strip("/")
+        method = getattr(self, name.replace("/", "_"), None)
+        if method is None or name.count("/") != 1:
             raise KeyError(name)
-        return method(c)
-
-
-def serialised(result) -> object:
-    if isinstance(result, DataFrame):
-        return [json.loads(line) for line in result.toJSON().toLocalIterator()]
-    return result
+        result = method(c)
+        if isinstance(result, DataFrame) and c.get("write_to"):
+            result.write.json(c["write_to"])
+            return {"path": c["write_to"]}
+        return page(result, name) if isinstance(result, DataFrame) and c.get("as_page") else result
+
+
+def page(result: DataFrame, name: str) -> str:
+    """A page of a small result: a graph for edges and pairs of activities, else a table."""
+    if name == "comparing/ngrams":
+        parts = result.withColumn("part", F.split("ngram", " -> ", -1))
+        if parts.filter("size(part) <> 2").isEmpty():
+            return sinks.graph_page(parts.select(F.col("part")[0].alias("source"), F.col("part")[1].alias("target"), "balance"), "source", "target", "balance", name)
+    if name == "modeling/directly_follows":
+        return sinks.graph_page(result.filter("kind = 'edge'"), "source", "target", "frequency", name)
+    return sinks.table_page(result, name)
+
+
+def serialised(result):
+    """A result as pieces of JSON text, rows one at a time."""
+    if not isinstance(result, DataFrame):
+        yield json.dumps(result)
+        return
+    lead = "["
+    for line in result.toJSON().toLocalIterator():
+        yield lead + line
+        lead = ","
+    yield "[]" if lead == "[" else "]"
 
 
 def serve(engine: Engine, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
@@ -143,7 +216,16 @@ def serve(engine: Engine, host: str = "127.0.0.1", port: int = 8000) -> Threadin
             try:
                 c = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
                 start = time.time()
-                self.answer(200, {"result": serialised(engine.call(self.path, c)), "time": time.time() - start})
+                result = engine.call(self.path, c)
+                pieces = serialised(result)
+                first = next(pieces)  # what fails, fails mostly here
+                self.send_response(200)
+                self.send_header("Content-Type", "application/json")
+                self.end_headers()
+                self.wfile.write(b'{"result": ' + first.encode())
+                for piece in pieces:
+                    self.wfile.write(piece.encode())
+                self.wfile.write(f', "time": {time.time() - start}}}'.encode())
             except KeyError as e:
                 self.answer(404, {"error": f"not found or missing: {e}"})
             except (ValueError, SyntaxError) as e:
@@ -160,7 +242,6 @@ def serve(engine: Engine, host: str = "127.0.0.1", port: int = 8000) -> Threadin
 def main(args: list[str] | None = None) -> None:
     """``python -m eventloom.api ROOT module/endpoint --config FILE [--out FILE]``, or ``serve``."""
     from eventloom.session import session
-    from eventloom.sources import sinks
 
     p = argparse.ArgumentParser(prog="eventloom")
     p.add_argument("root")
@@ -185,7 +266,8 @@ def main(args: list[str] | None = None) -> None:
     elif a.out:
         sinks.write_text(result if isinstance(result, str) else json.dumps(result), a.out)
     else:
-        print(json.dumps(serialised(result), indent=1))
+        for piece in serialised(result):
+            print(piece)
 
 
 if __name__ == "__main__":

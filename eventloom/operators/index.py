@@ -104,9 +104,13 @@ def merge_counts(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def last_checked(pairs: DataFrame, limit: str | None = None, now: int | None = None) -> DataFrame:
     """Time of the last target paired per trace, source and target; entries older than the lookback before ``now`` go."""
-    out = pairs.groupBy("trace_id", "source", "target").agg(F.max("target_timestamp").alias("last_checked"))
+    return pruned(pairs.groupBy("trace_id", "source", "target").agg(F.max("target_timestamp").alias("last_checked")), limit, now)
+
+
+def pruned(checked: DataFrame, limit: str | None, now: int | None) -> DataFrame:
+    """Entries that a lookback in time still reaches from ``now``."""
     seconds = lookback(limit).seconds
-    return out if seconds is None or now is None else out.filter(F.col("last_checked") >= F.lit(now - seconds))
+    return checked if seconds is None or now is None else checked.filter(F.col("last_checked") >= F.lit(now - seconds))
 
 
 def continue_positions(batch: DataFrame, stored: DataFrame) -> DataFrame:

@@ -36,19 +36,23 @@ def existential(log: DataFrame) -> DataFrame:
     return union([rows(n, t, occurrences=F.col("n") + k) for t, k in (("exactly", 0), ("existence", 0), ("absence", 1))])
 
 
-def facts(log: DataFrame) -> DataFrame:
+def facts(log: DataFrame, needed: set[str] | None = None) -> DataFrame:
     """Per trace of two events or more and two of its activities: first, last and number of each, df (source directly
-    followed by target) and runs (transitions from source to target once other activities are left out)."""
+    followed by target) and runs (transitions from source to target once other activities are left out); these two only where ``needed``."""
+    needed = {"df", "runs"} if needed is None else needed
     own = log.groupBy("trace_id", "activity").agg(F.min("position").alias("f"), F.max("position").alias("l"), F.count("*").alias("c"))
     size = log.groupBy("trace_id").agg(F.count("*").alias("n")).filter("n >= 2").select("trace_id")
     own = own.join(size, "trace_id", "left_semi")
     side = lambda p, a: own.select("trace_id", F.col("activity").alias(a), *[F.col(c).alias(p + c) for c in "flc"])
-    nxt = log.select("trace_id", F.col("activity").alias("source"), F.lead("activity").over(by_trace()).alias("target")).filter("target is not null")
-    df = nxt.groupBy("trace_id", "source", "target").agg(F.count("*").alias("df"))
-    runs = event_pairs(log).filter("source <> target").groupBy("trace_id", "source", "target").agg(F.count("*").alias("runs"))
     keys = ["trace_id", "source", "target"]
-    out = side("a", "source").join(side("b", "target"), "trace_id").join(df, keys, "left").join(runs, keys, "left")
-    return out.fillna(0, ["df", "runs"])
+    out = side("a", "source").join(side("b", "target"), "trace_id")
+    if "df" in needed:
+        nxt = log.select("trace_id", F.col("activity").alias("source"), F.lead("activity").over(by_trace()).alias("target")).filter("target is not null")
+        out = out.join(nxt.groupBy(*keys).agg(F.count("*").alias("df")), keys, "left").fillna(0, ["df"])
+    if "runs" in needed:
+        runs = event_pairs(log).filter("source <> target").groupBy(*keys).agg(F.count("*").alias("runs"))
+        out = out.join(runs, keys, "left").fillna(0, ["runs"])
+    return out
 
 
 #: Ordered templates as conditions on ``facts``.
@@ -71,7 +75,8 @@ def ordered(log: DataFrame, templates: list[str] | None = None) -> DataFrame:
     """All ordered templates in one pass over the facts: a row per trace, pair and template that holds."""
     names = templates or list(ORDERED)
     held = F.array(*[F.when(F.expr(ORDERED[t]), F.lit(t)) for t in names])
-    out = facts(log).select("trace_id", "source", "target", F.explode(F.filter(held, lambda t: t.isNotNull())).alias("template"))
+    needed = {f for f in ("df", "runs") if any(f"{f} =" in ORDERED[t] for t in names)}
+    out = facts(log, needed).select("trace_id", "source", "target", F.explode(F.filter(held, lambda t: t.isNotNull())).alias("template"))
     return out.select("template", "source", "target", F.lit(None).cast("int").alias("occurrences"), "trace_id")
 
 
@@ -94,7 +99,10 @@ def unordered(log: DataFrame) -> DataFrame:
 
 
 def negation(log: DataFrame) -> DataFrame:
-    """not_coexistence: every two activities and trace that holds at most one of them."""
+    """not_coexistence: every two activities and trace that holds at most one of them.
+
+    The rows are the answer, one for each trace and pair; ``negation_support`` counts them without making them.
+    """
     traces = log.groupBy("trace_id").agg(F.collect_set("activity").alias("own"))
     alphabet = F.broadcast(activity_pairs(log).agg(F.collect_list(F.struct("source", "target")).alias("pairs")))
     out = traces.crossJoin(alphabet).select("trace_id", "own", F.explode("pairs").alias("p"))
@@ -115,11 +123,11 @@ def constraints(log: DataFrame, families: list[str] | None = None) -> DataFrame:
     return union([made[f](log) for f in families or FAMILIES])
 
 
-def supported(found: DataFrame, log: DataFrame, threshold: float = 0.0, trace_ids: bool = False, separator: str = "|") -> DataFrame:
+def supported(found: DataFrame, log: DataFrame, threshold: float = 0.0, trace_ids: bool = False, separator: str = "|", n_traces: int | None = None) -> DataFrame:
     """Constraints with the share of traces they hold in, from ``threshold`` on, optionally with the joined trace ids."""
     listed = [F.array_join(F.sort_array(F.collect_list("trace_id")), separator).alias("trace_ids")] if trace_ids else []
     out = found.groupBy("template", "source", "target", "occurrences").agg(F.count("*").alias("n"), *listed)
-    out = with_trace_count(out, log).withColumn("support", ratio(F.col("n"), F.col("n_traces"))).drop("n", "n_traces")
+    out = with_trace_count(out, log, n_traces).withColumn("support", ratio(F.col("n"), F.col("n_traces"))).drop("n", "n_traces")
     return out.filter(F.col("support") >= threshold)
 
 

@@ -13,17 +13,14 @@ def index_stream(stream: DataFrame, store: LogStore, checkpoint: str, mapping: M
     """Start a query that indexes a stream of source rows.
 
     Events of a later batch come behind those of earlier ones, whatever their times. A batch that
-    fails stops the query. The last batch's number is stored with the log, and a batch that is
-    delivered again after its tables were written is skipped.
+    fails stops the query and leaves the log as it was; the number of the last batch is published
+    together with its tables, and a batch that is delivered again is skipped.
     """
     mapping = mapping or Mapping()
 
     def batch(df: DataFrame, number: int) -> None:
-        done = store.read("stream_progress", "batch long")
-        if any(r.batch >= number for r in done.collect()) or df.isEmpty():
-            return
-        ingest(store, to_events(df, mapping), lookback)
-        store.write("stream_progress", df.sparkSession.createDataFrame([(number,)], "batch long"))
+        if not df.isEmpty():
+            ingest(store, to_events(df, mapping), lookback, number=number)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

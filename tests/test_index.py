@@ -67,6 +67,105 @@ def test_batches(spark, tmp_path):
     assert not store.exists() and store.read("sequence_table", SCHEMA).count() == 0
 
 
+def tables(store):
+    out = {t: sorted(map(str, store.read(t).select(*sorted(store.read(t).columns)).collect())) for t in ("sequence_table", "activity_index", "pairs_index", "count_table")}
+    out["last_checked"] = sorted(map(str, indexing.last_checked(store).collect()))
+    out["trace_metadata"] = sorted(map(tuple, store.read("trace_metadata").groupBy("trace_id").max("max_pos").collect()))
+    return out, {k: v for k, v in store.facts().items() if k != "mined"}
+
+
+def batches(rng, n):
+    return [{f"t{rng.randint(0, 9)}": "".join(rng.choices("ABCD", k=rng.randint(1, 4))) for _ in range(4)} for _ in range(n)]
+
+
+def timed(spark, traces, number):
+    return make(spark, traces).selectExpr("activity", "trace_id", "position", f"start_timestamp + {number} * 1000L as start_timestamp", "attributes")
+
+
+@pytest.mark.parametrize("lookback", [None, "3i"])
+def test_batches_equal_one_load(spark, tmp_path, monkeypatch, lookback):
+    monkeypatch.setattr(indexing, "MOST_PARTS", 2)
+    parts = batches(random.Random(3), 5)
+    store, one = LogStore(spark, f"file://{tmp_path}/a", buckets=3), LogStore(spark, f"file://{tmp_path}/b")
+    for i, b in enumerate(parts):
+        indexing.ingest(store, timed(spark, b, i), lookback, number=i)
+        indexing.ingest(store, timed(spark, b, i), lookback, number=i)  # a batch that comes again
+    whole = {}
+    for i, b in enumerate(parts):
+        for t, s in b.items():
+            whole.setdefault(t, []).extend((a, p * 10 + i * 1000) for p, a in enumerate(s))
+    rows = [(a, t, p, at, {}) for t, s in whole.items() for p, (a, at) in enumerate(s)]
+    indexing.ingest(one, spark.createDataFrame(rows, SCHEMA), lookback, number=4)
+    assert tables(store) == tables(one)
+    assert max(map(len, store.manifest()["tables"].values())) <= 3
+    with pytest.raises(ValueError):
+        indexing.ingest(store, timed(spark, parts[0], 9), "9i")
+    indexing.ingest(one, spark.createDataFrame([("D", "t0", 0, 5, {}), ("Z", "t99", 0, 5, {})], SCHEMA), lookback, continued=False)
+    assert one.facts()["trace_count"] == len(whole) + 1 and one.read("pairs_index").count() == one.facts()["pair_count"]
+
+
+def test_a_batch_that_fails_anywhere_leaves_the_log_as_it_was(spark, tmp_path, monkeypatch):
+    first, second = batches(random.Random(4), 2)
+    want = LogStore(spark, f"file://{tmp_path}/want")
+    for i, b in enumerate((first, second)):
+        indexing.ingest(want, timed(spark, b, i))
+    want = tables(want)
+    store = LogStore(spark, f"file://{tmp_path}/a")
+    indexing.ingest(store, timed(spark, first, 0))
+    before, whole, n = tables(store), LogStore.part, 0
+    while True:
+        calls = iter(range(n + 1))
+
+        def part(self, *args):
+            if next(calls, None) is None:
+                raise RuntimeError("lost")
+            return whole(self, *args)
+
+        monkeypatch.setattr(LogStore, "part", part)
+        try:
+            indexing.ingest(store, timed(spark, second, 1))
+            break
+        except RuntimeError:
+            n += 1
+        if n == 3:  # a call in the middle is enough to look at
+            assert tables(store) == before
+    assert n >= 5 and tables(store) == want
+    monkeypatch.setattr(LogStore, "part", whole)
+    manifest = store.manifest()
+    store.write("constraints", mine.positional(store.read("sequence_table")))
+    with pytest.raises(OSError):
+        store.publish(manifest)
+
+
+def test_readers_outlive_writes(spark, tmp_path):
+    store = LogStore(spark, f"file://{tmp_path}")
+    indexing.ingest(store, make(spark, {"a": "AB"}))
+    counts, sequence = store.read("count_table"), store.read("sequence_table")
+    for _ in range(2):
+        indexing.ingest(store, make(spark, {"a": "AB"}))
+    assert sequence.count() == 2 and sum(r.total_completions for r in counts.collect()) == 1
+    assert store.read("sequence_table").count() == 6
+    store.retention = 0
+    indexing.ingest(store, make(spark, {"a": "A"}))
+    with pytest.raises(Exception):
+        counts.collect()
+    assert store.read("sequence_table").count() == 7
+
+
+def test_constraints_are_kept_up(spark, tmp_path, monkeypatch):
+    store, seen = LogStore(spark, f"file://{tmp_path}"), []
+    whole = mine.constraints
+    monkeypatch.setattr(mine, "constraints", lambda log, families=None: (seen.append(log.select("trace_id").distinct().count()), whole(log, families))[1])
+    from eventloom.operators import mining
+
+    for traces in ({"a": "ABC", "b": "BA", "c": "C"}, {"b": "CA", "d": "AB"}, None):
+        if traces:
+            indexing.ingest(store, make(spark, traces))
+        got = mining.refresh(store, sorted(mine.FAMILIES))
+        assert sorted(map(str, got.collect())) == sorted(map(str, whole(store.read("sequence_table"), sorted(mine.FAMILIES)).select(*got.columns).collect()))
+    assert seen == [3, 2, 4]  # all; the grown ones for rows of their own; all for the families of the alphabet
+
+
 def test_upsert_replaces_equal_keys(spark):
     old, new = make(spark, {"a": "AB"}), spark.createDataFrame([("B", "a", 1, 99, {}), ("C", "a", 2, 100, {})], SCHEMA)
     assert sorted((r.position, r.start_timestamp) for r in index.upsert(old, new, ["trace_id", "activity", "position"]).collect()) == [(0, 0), (1, 99), (2, 100)]
@@ -160,5 +259,17 @@ def test_endpoints(spark, tmp_path):
         assert post("modeling/directly_follows", as_xml=True).startswith("<dfg>") and "definitions" in post("modeling/bpmn")
         with pytest.raises(urllib.error.HTTPError):
             post("modeling/nothing")
+        for bad in ({"pattern": "B C", "patern": 1}, {"pattern": "B ("}, {}):
+            with pytest.raises(urllib.error.HTTPError):
+                post("querying/detection", **bad)
+        assert sorted(r["positions"] for r in post("querying/detection", pattern="B C", return_all=True, constraints=[{"from": 0, "to": 1, "most": 1}])) == [[0, 1], [1, 2]]
+        assert post("querying/detection", pattern="B C", constraints=[{"kind": "gap", "from": 0, "to": 1, "least": 1}]) == []
+        assert "<svg" in post("comparing/ngrams", separating_group=["D"], as_page=True) and "<table" in post("analysing/attribute_deviations", as_page=True)
+        assert post("analysing/directly_follows", write_to=f"{tmp_path}/df") == {"path": f"{tmp_path}/df"} and spark.read.json(f"{tmp_path}/df").count() == 4
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"trace_id": "9", "activity": a, "timestamp": f"2024-01-02T00:00:0{i}"}) for i, a in enumerate("AB")))
+        for _ in range(2):
+            out = post("indexing/stream", path=f"{tmp_path}/in", checkpoint=f"{tmp_path}/cp", mapping={"trace_id": "trace_id", "activity": "activity", "start_timestamp": "timestamp"})
+            assert out["facts"]["event_count"] == 10 and out["facts"]["trace_count"] == 4
     finally:
         server.shutdown()
