@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from eventloom.functions.scores import ratio
 from eventloom.operators.log import with_trace_count
-from eventloom.plans.matcher import matches
+from eventloom.plans.matcher import Bound, followers, matches
 from eventloom.plans.pattern import STAR, OPT, activities, responded_pairs
 
 
@@ -46,57 +46,59 @@ def candidates(pairs: DataFrame, pattern: str) -> DataFrame:
     return reduce(DataFrame.union, out).distinct()
 
 
-def detect(log: DataFrame, pattern: str, pairs: DataFrame | None = None, threshold: float = 0.0) -> DataFrame:
+def detect(log: DataFrame, pattern: str, pairs: DataFrame | None = None, threshold: float = 0.0, bounds: list[Bound] | None = None, every: bool = False, n_traces: int | None = None) -> DataFrame:
     """trace_id, positions (of the least match), support (share of traces with a match, equal in all rows).
 
-    With an index of pairs (without lookback, patterns of two events or more) only the traces
-    that can match are read from the log. Nothing is returned below the threshold.
+    With ``every``, a row for each of a trace's matches that don't overlap. ``bounds`` limit the
+    time or the number of events between places. With an index of pairs (without lookback,
+    patterns of two events or more) only the traces that can match are read from the log.
+    Nothing is returned below the threshold.
     """
     rows = log
     if pairs is not None and responded_pairs(pattern) and not any(a["negated"] for a in activities(pattern)):
         star = any(a["quantifier"] in (STAR, OPT) for a in activities(pattern))
         rows = log if star else log.join(candidates(pairs, pattern), "trace_id", "left_semi")
-    found = matches(rows, pattern)
-    total = with_trace_count(found.agg(F.count("*").alias("n")), log).select(ratio(F.col("n"), F.col("n_traces")).alias("support"))
+    found = matches(rows, pattern, bounds, every)
+    traces = found.select("trace_id").distinct() if every else found
+    total = with_trace_count(traces.agg(F.count("*").alias("n")), log, n_traces).select(ratio(F.col("n"), F.col("n_traces")).alias("support"))
     return found.crossJoin(F.broadcast(total)).filter(F.col("support") >= threshold)
 
 
-def explore_accurate(log: DataFrame, pattern: str, targets: list[str] | None = None) -> DataFrame:
-    """next_activity, support: the share of traces in which the activity follows the pattern's least match.
+def explore_accurate(log: DataFrame, pattern: str, targets: list[str] | None = None, n_traces: int | None = None) -> DataFrame:
+    """next_activity, support: the share of traces that match the pattern followed by the activity.
 
-    The prefix is matched once; the activities behind the end of the match are counted. For
-    patterns of single or repeated events the match that ends first is the one to look behind.
+    The pattern is matched once for all activities: what lies behind the match that ends first
+    follows it (see ``followers``).
     """
-    prefix = matches(log, pattern).select("trace_id", F.element_at("positions", -1).alias("end"))
-    later = log.join(prefix, "trace_id").filter(F.col("position") > F.col("end")).select("trace_id", F.col("activity").alias("next_activity")).distinct()
+    later = followers(log, pattern)
     if targets is not None:
         later = later.filter(F.col("next_activity").isin(targets))
-    out = with_trace_count(later.groupBy("next_activity").agg(F.count("*").alias("n")), log)
+    out = with_trace_count(later.groupBy("next_activity").agg(F.count("*").alias("n")), log, n_traces)
     return out.select("next_activity", ratio(F.col("n"), F.col("n_traces")).alias("support"))
 
 
-def explore_fast(counts: DataFrame, log: DataFrame, pattern: str) -> DataFrame:
+def explore_fast(counts: DataFrame, log: DataFrame, pattern: str, n_traces: int | None = None) -> DataFrame:
     """next_activity, support: an upper bound from the count table, the least number of completions of the pattern's consecutive pairs and of (last, next), by traces."""
     labels = [a["label"] for a in activities(pattern) if not a["negated"]]
     consecutive = set(zip(labels, labels[1:]))
     bound = counts.filter(exact_pairs(consecutive)).agg(F.min("total_completions").alias("bound"), F.count("*").alias("found"))
     limit = F.when(F.col("found") < len(consecutive), F.lit(0)).otherwise(F.coalesce("bound", F.lit(1 << 62)))
     out = counts.filter(F.col("source") == labels[-1]).crossJoin(F.broadcast(bound))
-    out = with_trace_count(out.select(F.col("target").alias("next_activity"), F.least("total_completions", limit).alias("n")), log)
+    out = with_trace_count(out.select(F.col("target").alias("next_activity"), F.least("total_completions", limit).alias("n")), log, n_traces)
     return out.select("next_activity", ratio(F.col("n"), F.col("n_traces")).alias("support"))
 
 
-def explore_hybrid(counts: DataFrame, log: DataFrame, pattern: str, k: int) -> DataFrame:
+def explore_hybrid(counts: DataFrame, log: DataFrame, pattern: str, k: int, n_traces: int | None = None) -> DataFrame:
     """The fast answer for k = 0, else the accurate one for the k best of the fast answer."""
-    fast = explore_fast(counts, log, pattern)
+    fast = explore_fast(counts, log, pattern, n_traces)
     if k <= 0:
         return fast
     best = fast.orderBy(F.desc("support"), "next_activity").limit(k).select("next_activity")
-    return explore_accurate(log, pattern).join(best, "next_activity", "left_semi")
+    return explore_accurate(log, pattern, None, n_traces).join(best, "next_activity", "left_semi")
 
 
-def explore(log: DataFrame, counts: DataFrame, pattern: str, mode: str = "accurate", k: int = 0, threshold: float = 0.0) -> DataFrame:
+def explore(log: DataFrame, counts: DataFrame, pattern: str, mode: str = "accurate", k: int = 0, threshold: float = 0.0, n_traces: int | None = None) -> DataFrame:
     if mode not in ("accurate", "fast", "hybrid"):
         raise ValueError(f"no such mode: {mode}")
-    out = explore_accurate(log, pattern) if mode == "accurate" else explore_fast(counts, log, pattern) if mode == "fast" else explore_hybrid(counts, log, pattern, k)
+    out = explore_accurate(log, pattern, None, n_traces) if mode == "accurate" else explore_fast(counts, log, pattern, n_traces) if mode == "fast" else explore_hybrid(counts, log, pattern, k, n_traces)
     return out.filter(F.col("support") >= threshold).orderBy(F.desc("support"), "next_activity")

@@ -172,17 +172,6 @@ def linear(text: str) -> list[list[Event]]:
     return branches(parse(text))
 
 
-def spread(branch: list[Event]) -> list[list[Event]]:
-    """Branches with ONE and PLUS only: each star is a plus or left out, each option one or left out."""
-    choices = [[replace(e, quantifier=PLUS), None] if e.quantifier == STAR and not e.negated else [replace(e, quantifier=ONE), None] if e.quantifier == OPT and not e.negated else [e] for e in branch]
-    out = []
-    for choice in product(*choices):
-        kept = [e for e in choice if e is not None]
-        if any(not e.negated for e in kept) and kept not in out:
-            out.append(kept)
-    return out
-
-
 def responded_pairs(text: str) -> list[dict]:
     """Per branch and two positive places in order: source, target, quantifiers, labels forbidden between them."""
     out = []

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
 from pyspark.sql import DataFrame, functions as F
 
 from eventloom.operators import analyse, compare, index, indexing, mine, model, query
 from eventloom.operators.log import events_log, orders_log, sessions_log
 from eventloom.plans import cep
+from eventloom.plans.matcher import Bound
 from eventloom.sources import readers
 from eventloom.sources.store import LogStore, scratch
 from eventloom.streaming.index_stream import index_stream
@@ -63,8 +66,17 @@ add("sequence_table", lambda log: log.select("activity", "trace_id", "position",
 QUERIES["sequence_table_ties"] = lambda spark, d: orders_log(spark, d).select("activity", "trace_id", "position", "start_timestamp", F.col("attributes")["status"].alias("status"))
 SQL["sequence_table_ties"] = """SELECT o_orderpriority AS activity, CAST(o_custkey AS VARCHAR) AS trace_id,
   CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS position, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS start_timestamp, o_orderstatus AS status FROM orders"""
-add("activity_index", lambda log: log.filter("activity = 'purchase'").select("activity", "trace_id", "position", "start_timestamp"),
-    with_() + "SELECT a AS activity, t AS trace_id, pos AS position, s AS start_timestamp FROM log WHERE a = 'purchase'")
+
+
+def activity_index(spark, sf_dir: str) -> DataFrame:
+    """All activities of the stored index."""
+    store = LogStore(spark, scratch(spark, "store"))
+    indexing.ingest(store, events_log(spark, sf_dir))
+    return store.read("activity_index").select("activity", "trace_id", "position", "start_timestamp")
+
+
+QUERIES["activity_index"] = activity_index
+SQL["activity_index"] = with_() + "SELECT a AS activity, t AS trace_id, pos AS position, s AS start_timestamp FROM log"
 add("trace_metadata", index.trace_metadata, with_() + "SELECT t AS trace_id, max(pos) AS max_pos FROM log GROUP BY t")
 add("log_metadata", index.log_metadata, with_() + "SELECT count(DISTINCT t) AS trace_count, count(*) AS event_count, min(s) AS start_ts, max(s) AS last_ts FROM log")
 PAIR_SELECT = "SELECT src AS source, tgt AS target, t AS trace_id, sp AS source_position, tp AS target_position, ss AS source_timestamp, ts AS target_timestamp FROM pairs"
@@ -127,11 +139,36 @@ detection("detect_negation", "view !error purchase", FIRST_PAIR.format(where="x.
 detection("detect_attribute", 'view[k="3"] purchase', FIRST_PAIR.format(where="x.a = 'view' AND x.k = '3' AND y.a = 'purchase'"))
 detection("detect_variable", "view purchase[k=$1]", FIRST_PAIR.format(where="x.a = 'view' AND y.a = 'purchase' AND x.k = y.k"))
 detection("detect_variable_offset", "view purchase[k=$1+2]", FIRST_PAIR.format(where="x.a = 'view' AND y.a = 'purchase' AND CAST(y.k AS DOUBLE) = CAST(x.k AS DOUBLE) + 2"))
+
+
+def every(name: str, pattern: str, found_sql: str, bounds=None, all_=False) -> None:
+    """As ``detection``, with bounds, or with a row for each match."""
+    add(name, lambda log: query.detect(log, pattern, bounds=bounds, every=all_).select("trace_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), "support"),
+        with_(f"found AS ({found_sql})").replace("WITH", "WITH RECURSIVE", 1) + f"SELECT t AS trace_id, array_to_string(positions, ',') AS positions, round((SELECT count(DISTINCT t) FROM found) / {SHARE}, 6) AS support FROM found")
+
+
+every("detect_within_time", "view purchase", FIRST_PAIR.format(where="x.a = 'view' AND y.a = 'purchase' AND y.s - x.s BETWEEN 3600 AND 86400"), [Bound(0, 1, 3600, 86400)])
+every("detect_within_gap", "view purchase", FIRST_PAIR.format(where="x.a = 'view' AND y.a = 'purchase' AND y.pos - x.pos - 1 BETWEEN 1 AND 3"), [Bound(0, 1, 1, 3, "gap")])
+every("detect_all", "view purchase", """WITH RECURSIVE nx AS (SELECT t, pos, min(CASE WHEN a = 'view' THEN pos END) OVER w AS nv, min(CASE WHEN a = 'purchase' THEN pos END) OVER w AS np
+  FROM (SELECT t, pos, a FROM log UNION ALL SELECT DISTINCT t, -1, '' FROM log) WINDOW w AS (PARTITION BY t ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+  m(t, v, p) AS (SELECT x.t, x.nv, y.np FROM nx x JOIN nx y ON y.t = x.t AND y.pos = x.nv WHERE x.pos = -1 AND y.np IS NOT NULL
+    UNION ALL SELECT m.t, x.nv, y.np FROM m JOIN nx x ON x.t = m.t AND x.pos = m.p JOIN nx y ON y.t = m.t AND y.pos = x.nv WHERE y.np IS NOT NULL)
+  SELECT t, [v, p] AS positions FROM m""", all_=True)
+TWELVE = [f'view[k="{i}"]' for i in range(10)] + ["signup", "error", "purchase"]
+every("detect_many_events", f"({'||'.join(TWELVE[:10])}) signup error purchase",
+      "SELECT t, [min(p1), min(p2), min(p3), min(p4)] AS positions FROM (" + chain(A["view"] + " AND l.k IN ('0', '1', '2', '3', '4', '5', '6', '7', '8', '9')", A["signup"], A["error"], A["purchase"]) + "SELECT t, p1, p2, p3, p4 FROM c4) GROUP BY t")
 add("detect_pruned", lambda log: query.detect(log, "signup view purchase", index.event_pairs(log)).select("trace_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), "support"), SQL["detect_sequence"])
 AFTER = with_("c AS (" + chain(A["view"], A["click"]) + "SELECT t, p2 FROM c2)", f"acc AS (SELECT l.a AS next_activity, round(count(DISTINCT l.t) / {SHARE}, 6) AS support FROM log l JOIN c ON c.t = l.t AND l.pos > c.p2 GROUP BY l.a)", PAIRS.format(limit="true"), COUNTS,
               f"fast AS (SELECT target AS next_activity, round(least(total_completions, (SELECT min(total_completions) FROM counts WHERE source = 'view' AND target = 'click')) / {SHARE}, 6) AS support FROM counts WHERE source = 'click')")
 counted = lambda log: index.count_table(index.event_pairs(log))
 add("explore_accurate", lambda log: query.explore_accurate(log, "view click"), AFTER + "SELECT * FROM acc")
+
+add("explore_variable", lambda log: query.explore_accurate(log, "view purchase[k=$1]"),
+    with_("c AS (SELECT x.t, min(y.pos) AS p FROM log x JOIN log y ON y.t = x.t AND y.pos > x.pos AND y.k = x.k WHERE x.a = 'view' AND y.a = 'purchase' GROUP BY x.t)")
+    + f"SELECT l.a AS next_activity, round(count(DISTINCT l.t) / {SHARE}, 6) AS support FROM log l JOIN c ON c.t = l.t AND l.pos > c.p GROUP BY l.a")
+add("explore_after_negation", lambda log: query.explore_accurate(log, 'view[k="3"] !click'),
+    with_() + f"""SELECT y.a AS next_activity, round(count(DISTINCT y.t) / {SHARE}, 6) AS support FROM log x JOIN log y ON y.t = x.t AND y.pos > x.pos
+    WHERE x.a = 'view' AND x.k = '3' AND NOT EXISTS (SELECT 1 FROM log e WHERE e.t = x.t AND e.a = 'click' AND e.pos > x.pos AND e.pos < y.pos) GROUP BY y.a""")
 add("explore_fast", lambda log: query.explore_fast(counted(log), log, "view click"), AFTER + "SELECT * FROM fast")
 add("explore_hybrid", lambda log: query.explore_hybrid(counted(log), log, "view click", 2), AFTER + "SELECT acc.* FROM acc JOIN (SELECT next_activity FROM fast ORDER BY support DESC, next_activity LIMIT 2) USING (next_activity)")
 
@@ -145,6 +182,7 @@ add("mine_existential", lambda log: mine.supported(mine.existential(log), log).s
 for _t, _c in mine.ORDERED.items():
     add_sessions(f"mine_{_t}", lambda log, t=_t: mine.supported(mine.ordered(log, [t]), log).select("template", "source", "target", "support"),
         with_(FACTS) + f"SELECT '{_t}' AS template, source, target, {SUPPORT} FROM p WHERE {_c} GROUP BY source, target")
+add("mine_ordered_users", lambda log: mine.supported(mine.ordered(log), log).select("template", "source", "target", "support"), with_(FACTS, ORDERED_ROWS) + f"SELECT template, source, target, {SUPPORT} FROM ord GROUP BY ALL")
 BOTH = "acts AS (SELECT DISTINCT a FROM log), ab AS (SELECT x.a AS source, y.a AS target FROM acts x JOIN acts y ON x.a < y.a), own AS (SELECT DISTINCT t, a FROM log), tr AS (SELECT DISTINCT t FROM log), seen AS (SELECT tr.t, source, target, EXISTS (SELECT 1 FROM own o WHERE o.t = tr.t AND o.a = source) AS x, EXISTS (SELECT 1 FROM own o WHERE o.t = tr.t AND o.a = target) AS y FROM tr JOIN ab ON true)"
 for _t, _c in {"coexistence": "x AND y", "choice": "x OR y", "exclusive_choice": "x <> y"}.items():
     add_sessions(f"mine_{_t}", lambda log, t=_t: mine.supported(mine.unordered(log).filter(F.col("template") == t), log).select("template", "source", "target", "support"),
@@ -163,6 +201,11 @@ dfr AS (SELECT a AS activity, b AS next_activity, round(count(DISTINCT t) / {SHA
   CAST(min(ns - s) AS DOUBLE) AS min_duration, CAST(max(ns - s) AS DOUBLE) AS max_duration FROM dfw WHERE b IS NOT NULL GROUP BY a, b)"""
 add("directly_follows", analyse.directly_follows, with_(DF) + "SELECT * FROM dfr")
 add("directly_follows_rare", lambda log: analyse.directly_follows(log, 0.9, True), with_(DF) + "SELECT * FROM dfr WHERE support <= 0.9")
+ENDED = lambda log: log.withColumn("attributes", F.map_concat("attributes", F.create_map(F.lit("end"), (F.col("start_timestamp") + F.col("attributes")["k"].cast("long") + 1).cast("string"))))
+add("directly_follows_end_time", lambda log: analyse.directly_follows(ENDED(log), end_time="end"),
+    with_(DF.replace("lead(s) OVER w AS ns", "s + CAST(k AS BIGINT) + 1 AS ns")) + "SELECT * FROM dfr")
+add("since_timestamp", lambda log: analyse.since(log, "2024-01-10 12:00:00").groupBy("activity").agg(F.count("*").alias("n"), F.min("start_timestamp").alias("first")),
+    with_() + "SELECT a AS activity, count(*) AS n, min(s) AS first FROM log WHERE s >= epoch(TIMESTAMP '2024-01-10 12:00:00') GROUP BY a")
 DUR = "round(avg(d), 6) AS avg_duration_sec, CAST(min(d) AS DOUBLE) AS min_duration_sec, CAST(max(d) AS DOUBLE) AS max_duration_sec, count(*) AS occurrence_count"
 STEP = "st AS (SELECT t, a, k, s, lead(s) OVER (PARTITION BY t ORDER BY pos) - s AS d FROM log)"
 add("durations_activity", analyse.activity_durations, with_(STEP) + f"SELECT a AS activity, {DUR} FROM st WHERE d IS NOT NULL GROUP BY a")
@@ -208,7 +251,25 @@ deviation("deviation_activity_number", "1", only_value, with_(ATTR, "src AS (SEL
 deviation("deviation_position", "2", only_k, with_(WORDS, BUCKET, surprise_sql("a, bucket, attr_key")) + dev_select("2", "'act=' || a || '|bucket=' || bucket", "score", 4.0, "sc"))
 deviation("deviation_ngram", "3", only_k, with_(WORDS, GRAM, surprise_sql("ngram, attr_key")) + dev_select("3", "ngram", "score", 4.0, "sc"))
 deviation("deviation_transition", "4", only_k, with_(WORDS, "mv AS (SELECT *, lag(attr_value) OVER (PARTITION BY t, attr_key ORDER BY pos) AS prev FROM att), m2 AS (SELECT *, prev || '->' || attr_value AS mv FROM mv WHERE prev IS NOT NULL), sc AS (SELECT *, -log2((count(*) OVER (PARTITION BY attr_key, mv) + 1.0) / (count(*) OVER (PARTITION BY attr_key) + 1.0 * ((SELECT count(DISTINCT mv) FROM m2 z WHERE z.attr_key = m2.attr_key) + 1))) AS score, count(*) OVER (PARTITION BY attr_key) AS tot FROM m2)") + dev_select("4", "prev", "score", 4.0, "sc WHERE tot >= 5"))
-add("deviation_records", lambda log: analyse.deviation_records(analyse.deviations(only_k(log), ["0a", "1", "4"], surprise_threshold=3.5), only_k(log)).select("trace_id", "position", "activity", "attr_key", "attr_value", "inter_trace_support", "intra_trace_support", F.array_join("flagged_by", ",").alias("flagged_by")))
+MOVES = "mv AS (SELECT *, lag(attr_value) OVER (PARTITION BY t, attr_key ORDER BY pos) AS prev FROM att), m2 AS (SELECT *, prev || '->' || attr_value AS mv FROM mv WHERE prev IS NOT NULL)"
+add("deviation_records", lambda log: analyse.deviation_records(analyse.deviations(only_k(log), ["0a", "1", "4"], surprise_threshold=3.5), only_k(log)).select("trace_id", "position", "activity", "attr_key", "attr_value", "inter_trace_support", "intra_trace_support", F.array_join("flagged_by", ",").alias("flagged_by")),
+    with_(WORDS, "src AS (SELECT * FROM att)", MOVES, surprise_sql("a, attr_key"),
+          f"inter AS (SELECT attr_key, attr_value, count(DISTINCT t) / {SHARE} AS sup FROM att GROUP BY ALL)",
+          "cell AS (SELECT t, a, attr_key, attr_value, round(count(*) / sum(count(*)) OVER (PARTITION BY t, a, attr_key), 4) AS sup FROM att GROUP BY t, a, attr_key, attr_value)",
+          "tr AS (SELECT *, -log2((count(*) OVER (PARTITION BY attr_key, mv) + 1.0) / (count(*) OVER (PARTITION BY attr_key) + 1.0 * ((SELECT count(DISTINCT mv) FROM m2) + 1))) AS score FROM m2)",
+          f"hits AS (SELECT t, pos, '{analyse.STEPS['1']}' AS step FROM sc WHERE score >= 3.5 UNION SELECT t, pos, '{analyse.STEPS['4']}' FROM tr WHERE score >= 3.5 UNION SELECT t, pos, '{analyse.STEPS['0a']}' FROM att JOIN inter USING (attr_key, attr_value) WHERE -log2(greatest(sup, 1e-9)) >= 3.5)",
+          "flags AS (SELECT t, pos, string_agg(step, ',' ORDER BY step) AS flagged_by FROM hits GROUP BY t, pos)")
+    + "SELECT att.t AS trace_id, att.pos AS position, att.a AS activity, attr_key, attr_value, round(inter.sup, 4) AS inter_trace_support, cell.sup AS intra_trace_support, flagged_by FROM att JOIN flags USING (t, pos) JOIN inter USING (attr_key, attr_value) JOIN cell ON cell.t = att.t AND cell.a = att.a AND cell.attr_key = att.attr_key AND cell.attr_value = att.attr_value".replace("JOIN inter USING (attr_key, attr_value) JOIN cell", "JOIN inter USING (attr_key, attr_value) JOIN cell").replace("attr_key, attr_value, round", "att.attr_key, att.attr_value, round"))
+mixed = lambda log: log.withColumn("attributes", F.create_map(F.lit("k"), F.concat(F.lit("v"), F.col("attributes")["k"]), F.lit("value"), F.col("attributes")["value"]))
+add("deviation_both_kinds", lambda log: analyse.deviations(mixed(log), ["1", "3"], surprise_threshold=4.0, z_threshold=1.5).select(*[c for c in DEV if c != "attr_value"]).withColumn("score", F.round("score", 6)),
+    with_("va AS (SELECT t, pos, a, 'value' AS attr_key, value AS v FROM log WHERE value IS NOT NULL)", WORDS, "gr AS (SELECT t, pos, lag(a) OVER (PARTITION BY t ORDER BY pos) || '->' || a AS ngram FROM log)",
+          "ctx AS (SELECT t, pos, a, '1' AS step, a AS context FROM log UNION ALL SELECT l.t, l.pos, l.a, '3', ngram FROM log l JOIN gr USING (t, pos) WHERE ngram IS NOT NULL)",
+          "num AS (SELECT c.*, attr_key, v FROM ctx c JOIN va ON va.t = c.t AND va.pos = c.pos)", "cat AS (SELECT c.*, attr_key, attr_value FROM ctx c JOIN att ON att.t = c.t AND att.pos = c.pos)",
+          "md AS (SELECT step, context, quantile_disc(v, 0.5) AS med, count(*) AS total FROM num GROUP BY ALL)", "ad AS (SELECT step, context, quantile_disc(abs(v - med), 0.5) AS mad FROM num JOIN md USING (step, context) GROUP BY ALL)",
+          "cc AS (SELECT step, context, attr_value, count(*) AS n FROM cat GROUP BY ALL)", "ct AS (SELECT step, context, sum(n) AS total, count(*) AS voc FROM cc GROUP BY ALL)",
+          "sc AS (SELECT t, pos, a, attr_key, step, context, CASE WHEN mad = 0 THEN 0.0 ELSE abs(0.6745 * (v - med) / mad) END AS score, 1.5 AS lim, total FROM num JOIN md USING (step, context) JOIN ad USING (step, context)"
+          " UNION ALL SELECT t, pos, a, attr_key, step, context, -log2((n + 1.0) / (total + 1.0 * (voc + 1))), 4.0, total FROM cat JOIN cc USING (step, context, attr_value) JOIN ct USING (step, context))")
+    + f"SELECT t AS trace_id, pos AS position, a AS activity, attr_key, CASE step WHEN '1' THEN '{analyse.STEPS['1']}' ELSE '{analyse.STEPS['3']}' END AS step, context, round(score, 6) AS score, score >= lim AS is_deviation FROM sc WHERE step = '1' OR total >= 5")
 add_sessions("deviation_on_rare", lambda log: analyse.on_rare(log, mine.ordered(log), 0.1).select("trace_id", "position", "activity"),
     with_(FACTS, ORDERED_ROWS, f"rules AS (SELECT template, source, target FROM ord GROUP BY ALL HAVING count(*) >= 0.1 * {SHARE}), ok AS (SELECT t, count(*) AS n FROM ord JOIN rules USING (template, source, target) GROUP BY t)")
     + "SELECT t AS trace_id, pos AS position, a AS activity FROM log LEFT JOIN ok USING (t) WHERE coalesce(n, 0) < (SELECT count(*) FROM rules)")
@@ -252,7 +313,16 @@ add_sessions("frequent_variants", lambda log: model.frequent_variants(log, 0.5).
     f"WITH {LOG}, {VAR}, f AS (SELECT variant, count(*) AS n FROM va GROUP BY variant), z AS (SELECT n, coalesce(sum(sum(n)) OVER (ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f GROUP BY n) SELECT t AS trace_id, pos AS position, a AS activity FROM log JOIN va USING (t) JOIN f USING (variant) JOIN z USING (n) WHERE z.before < 0.5 * {SHARE}")
 add("model_annotations", model.annotations, with_(STEP) + "SELECT a AS activity, count(*) AS frequency, round(avg(d), 6) AS avg_duration FROM st GROUP BY a")
 QUERIES["bpmn"] = lambda spark, d: spark.createDataFrame([(model.bpmn_xml(model.discover(sessions_log(spark, d), 0.2)),)], "bpmn string")
-QUERIES["dfg_xml"] = lambda spark, d: spark.createDataFrame([(model.dfg_xml(model.dfg(events_log(spark, d))),)], "dfg string")
+
+
+def exported_graph(spark, sf_dir: str) -> DataFrame:
+    """The graph's edges as read back from its XML."""
+    root = ElementTree.fromstring(model.dfg_xml(model.dfg(events_log(spark, sf_dir))))
+    rows = [(e.tag, e.get("source"), e.get("target"), int(e.get("frequency"))) for e in root if e.tag != "node"]
+    return spark.createDataFrame(rows, "kind string, source string, target string, frequency long")
+
+
+QUERIES["dfg_xml"], SQL["dfg_xml"] = exported_graph, SQL["dfg"]
 
 
 # sources, the store, streams, composite patterns
@@ -276,6 +346,8 @@ def through(kind: str):
             rows.write.csv(path, header=True)
         elif kind == "jsonl":
             rows.write.json(path)
+        elif kind == "json":  # an array of objects in each file
+            rows.groupBy(F.spark_partition_id()).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).select("value").write.text(path)
         else:
             tag = lambda name, key, value: F.concat(F.lit(f'<{name} key="{key}" value="'), value, F.lit('"/>'))
             event = F.concat(F.lit("<event>"), tag("string", "concept:name", F.col("kind")), tag("date", "time:timestamp", F.col("at")), tag("int", "k", F.col("k")), F.lit("</event>"))
@@ -290,7 +362,7 @@ def through(kind: str):
     return run
 
 
-for _k in ("csv", "jsonl", "xes"):
+for _k in ("csv", "jsonl", "json", "xes"):
     QUERIES[f"read_{_k}"] = through(_k)
     SQL[f"read_{_k}"] = with_() + PLAIN
 
@@ -310,7 +382,7 @@ QUERIES["stored_index"], SQL["stored_index"] = stored_index, SQL["pairs_index"]
 def streamed_index(spark, sf_dir: str) -> DataFrame:
     """The count table after the log came as a stream of JSON files."""
     root = scratch(spark, "stream")
-    source_rows(spark, sf_dir).coalesce(1).write.json(f"{root}/in")
+    source_rows(spark, sf_dir).write.json(f"{root}/in")
     store = LogStore(spark, root)
     index_stream(readers.json_stream(spark, f"{root}/in", SOURCE), store, f"{root}/checkpoint", SOURCE).awaitTermination()
     return store.read("count_table").select("source", "target", "total_duration", "total_completions", "min_duration", "max_duration", "sum_squared_duration")

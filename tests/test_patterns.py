@@ -67,6 +67,89 @@ def test_both_matchers_equal_brute_force(spark, text):
     assert {r.trace_id: r.positions for r in matcher.match_all(df, [branch]).collect()} == want
 
 
+def all_matches(trace, branch):
+    out = []
+    positive = [k for k, e in enumerate(branch) if not e.negated]
+    for n in range(len(positive), len(trace) + 1):
+        for places in itertools.combinations(range(len(trace)), n):
+            for cuts in itertools.combinations(range(1, n), len(positive) - 1):
+                groups = [places[a:b] for a, b in zip((0, *cuts), (*cuts, n))]
+                if any(len(g) > 1 and branch[k].quantifier != "+" for g, k in zip(groups, positive)) or any(trace[i] != branch[k].label for g, k in zip(groups, positive) for i in g):
+                    continue
+                edges = [-1, *positive, len(branch)]
+                bounds = [(-1 if not p else groups[p - 1][-1], groups[p][0]) for p in range(len(positive))] + [(groups[-1][-1], len(trace))]
+                if all(not any(branch[k].negated and trace[i] == branch[k].label for k in range(edges[p] + 1, edges[p + 1]) for i in range(lo + 1, hi)) for p, (lo, hi) in enumerate(bounds)):
+                    out.append((groups, places))
+    return out
+
+
+def log_of(spark, traces, step=1):
+    return spark.createDataFrame([(a, t, p, p * step, {}) for t, s in traces.items() for p, a in enumerate(s)], SCHEMA)
+
+
+def random_traces(seed, n, most=7):
+    rng = random.Random(seed)
+    return {str(i): [rng.choice("ABCD") for _ in range(rng.randint(1, most))] for i in range(n)}
+
+
+def closing(groups):
+    return len(groups[-1]) == 1
+
+
+@pytest.mark.parametrize("text", ["A B", "A !C B", "!B A", "A B+ C", "A !B", "A A"])
+def test_all_matches_that_do_not_overlap(spark, text):
+    traces, branch = random_traces(text, 80, 9), pattern.linear(text)[0]
+    want = []
+    for t, s in traces.items():
+        end = -1
+        for m in sorted((p[0], p[-1], p) for g, p in all_matches(s, branch) if closing(g)):
+            if m[0] > end:
+                want.append((t, list(m[2])))
+                end = m[1]
+    assert len(want) > 9
+    assert sorted((r.trace_id, r.positions) for r in matcher.matches(log_of(spark, traces), text, every=True).collect()) == sorted(want)
+
+
+def test_bounds(spark):
+    traces, text = random_traces(2, 150, 8), "A B+ C"
+    branch = pattern.linear(text)[0]
+    for bounds in ([matcher.Bound(0, 2, 3, 5)], [matcher.Bound(0, 1, None, 1, "gap"), matcher.Bound(1, 2, 10, None)], [matcher.Bound(0, 2, 2, 2, "gap")]):
+        step = 1 if bounds[0].most == 5 else 10
+        ok = lambda g, b: b.allows(*[{"position": g[k][0], "start_timestamp": g[k][0] * step} for k in (b.a, b.b)])
+        want = {}
+        for t, s in traces.items():
+            if found := sorted((p[0], p[-1], p) for g, p in all_matches(s, branch) if closing(g) and all(ok(g, b) for b in bounds)):
+                want[t] = list(found[0][2])
+        assert len(want) > 2
+        assert {r.trace_id: r.positions for r in query.detect(log_of(spark, traces, step), text, bounds=bounds).collect()} == want
+    assert query.detect(log_of(spark, traces), "A B? C", bounds=[matcher.Bound(1, 2, 5, None)]).count() == query.detect(log_of(spark, traces), "A C").count()
+    with pytest.raises(ValueError):
+        matcher.Bound(2, 1)
+
+
+@pytest.mark.parametrize("text", ["A", "A B", "A !C B", "!B A", "A !B", "A+ !C !D", "(A||B !A) C*", "A B+ !A"])
+def test_what_follows_a_pattern(spark, text):
+    traces = random_traces(text, 120)
+    log = log_of(spark, traces)
+    want = {(t, x) for x in "ABCD" for t in [r.trace_id for r in matcher.match_all(log, matcher.branches_of(f"({text}) {x}")).collect()]}
+    assert want and {tuple(r) for r in matcher.followers(log, text).collect()} == want
+
+
+def test_what_follows_a_pattern_with_variables(spark):
+    rows = [("view", "1", 0), ("view", "2", 1), ("purchase", "2", 2), ("click", "0", 3), ("purchase", "1", 4)]
+    log = spark.createDataFrame([(a, "t", p, p, {"k": k}) for a, k, p in rows], SCHEMA)
+    got = {r.next_activity: r.support for r in query.explore_accurate(log, "view purchase[k=$1]").collect()}
+    assert got == {"click": 1.0, "purchase": 1.0}
+
+
+def test_many_events_in_a_branch(spark):
+    names = [f"e{i}" for i in range(40)]
+    log = spark.createDataFrame([(a, t, p, p, {"k": str(p)}) for t, s in {"x": names, "y": names[::-1]}.items() for p, a in enumerate(s)], SCHEMA)
+    assert [r.trace_id for r in query.detect(log, " ".join(names)).collect()] == ["x"]
+    many = " ".join(f'e{i % 2}[k="{i}"]' for i in range(26))  # more kinds of one label than there are symbols
+    assert not matcher.is_regular(pattern.linear(many)[0]) and query.detect(log, many).collect() == []
+
+
 def test_reading():
     assert pattern.activities('A "b \\" c"+ !D[k="v", n=$1-2]')[1:] == [
         {"label": 'b " c', "quantifier": "+", "negated": False, "attributes": {}},
