@@ -66,12 +66,12 @@ def annotations(log: DataFrame, end_time: str | None = None) -> DataFrame:
 
 
 def graph_of(edges: DataFrame) -> tuple[dict, set, set]:
-    """({(source, target): frequency}, starts, ends) of a dfg."""
+    """({(source, target): frequency}, starts, ends) of a dfg; the target None stands for the end of a trace."""
     out, starts, ends = {}, set(), set()
     for r in edges.collect():  # at most the square of the alphabet
-        if r.kind == "edge":
+        if r.kind != "start":
             out[r.source, r.target] = r.frequency
-        else:
+        if r.kind != "edge":
             (starts if r.kind == "start" else ends).add(r.target if r.kind == "start" else r.source)
     return out, starts, ends
 
@@ -103,8 +103,12 @@ def connected(nodes: set, edges: set) -> list[set]:
     return sorted(out, key=min)
 
 
-def process_tree(edges: set, nodes: set, starts: set, ends: set):
-    """Inductive discovery on a directly-follows graph: ("act", a) or (operator, children) with xor, seq, par, loop; a flower where no cut applies."""
+def process_tree(edges: set, nodes: set, starts: set, ends: set, frequency: dict | None = None, noise: float = 0.0):
+    """Inductive discovery on a directly-follows graph: ("act", a) or (operator, children) with xor, seq, par, loop; a flower where no cut applies.
+
+    With ``noise``, a part of the graph that has no cut is tried again without the edges below that
+    share of the strongest edge that leaves their source within the part.
+    """
     if not nodes:
         return ("tau",)
     if len(nodes) == 1:
@@ -115,7 +119,7 @@ def process_tree(edges: set, nodes: set, starts: set, ends: set):
     def child(part):
         into = {b for a, b in edges if a not in part and b in part} | starts & part
         out = {a for a, b in edges if a in part and b not in part} | ends & part
-        return process_tree(sub(part), part, into or set(part), out or set(part))
+        return process_tree(sub(part), part, into or set(part), out or set(part), frequency, noise)
 
     parts = connected(nodes, edges)
     if len(parts) > 1:
@@ -165,19 +169,26 @@ def process_tree(edges: set, nodes: set, starts: set, ends: set):
         else:
             body |= p
     if loops:
-        return ("loop", [process_tree(sub(body), body, starts, ends), *[child(p) for p in loops]])
+        return ("loop", [process_tree(sub(body), body, starts, ends, frequency, noise), *[child(p) for p in loops]])
+    strong = frequent(edges, frequency or {}, noise)
+    if strong != edges:
+        return process_tree(strong, nodes, starts, ends, frequency, noise)
     return ("loop", [("tau",), *[("act", a) for a in sorted(nodes)]])
 
 
-def discover(log: DataFrame, noise: float = 0.0):
-    """Process tree of a log; with ``noise``, edges below that share of their source's strongest edge are left out first."""
-    edges, starts, ends = graph_of(dfg(log))
+def frequent(edges: set, frequency: dict, noise: float) -> set:
+    """The edges with at least ``noise`` of the frequency of the strongest one from their source, ends of traces included."""
     best: dict = {}
-    for (a, _), n in edges.items():
-        best[a] = max(best.get(a, 0), n)
-    kept = {(a, b) for (a, b), n in edges.items() if n >= noise * best[a]}
-    nodes = {n for e in edges for n in e} | starts | ends
-    return process_tree(kept, nodes, starts, ends)
+    for e in edges:
+        best[e[0]] = max(best.get(e[0], frequency.get((e[0], None), 0)), frequency.get(e, 0))
+    return {e for e in edges if frequency.get(e, 0) >= noise * best[e[0]]}
+
+
+def discover(log: DataFrame, noise: float = 0.0):
+    """Process tree of a log (see ``process_tree`` for ``noise``)."""
+    frequency, starts, ends = graph_of(dfg(log))
+    edges = {e for e in frequency if e[1] is not None}
+    return process_tree(edges, {n for e in edges for n in e} | starts | ends, starts, ends, frequency, noise)
 
 
 def dfg_xml(graph: DataFrame) -> str:
@@ -192,51 +203,73 @@ def dfg_xml(graph: DataFrame) -> str:
 
 
 BPMN = "http://www.omg.org/spec/BPMN/20100524/MODEL"
+SHAPES, DC, DI = "http://www.omg.org/spec/BPMN/20100524/DI", "http://www.omg.org/spec/DD/20100524/DC", "http://www.omg.org/spec/DD/20100524/DI"
+#: Width and height of a node by kind, and of a cell of the grid they are placed on.
+SIZES, CELL = {"task": (100, 80), "startEvent": (36, 36), "endEvent": (36, 36)}, (150, 110)
+GATEWAY = (50, 50)
+
+
+def extent(tree) -> tuple[int, int]:
+    """Columns and rows of the grid that a process tree takes: sequences lie side by side, alternatives one below the other between two gateways."""
+    if tree[0] in ("tau", "act"):
+        return int(tree[0] == "act"), 1
+    sizes = [extent(c) for c in tree[1]]
+    if tree[0] == "seq":
+        return sum(w for w, _ in sizes), max(h for _, h in sizes)
+    return 2 + max(w for w, _ in sizes), sum(h for _, h in sizes)
 
 
 def bpmn_xml(tree) -> str:
-    """BPMN 2.0 of a process tree."""
-    X.register_namespace("bpmn", BPMN)
-    q = lambda t: f"{{{BPMN}}}{t}"
+    """BPMN 2.0 of a process tree with the places of its nodes."""
+    for prefix, uri in (("bpmn", BPMN), ("bpmndi", SHAPES), ("dc", DC), ("di", DI)):
+        X.register_namespace(prefix, uri)
+    q = lambda t, space=BPMN: f"{{{space}}}{t}"
     root = X.Element(q("definitions"), targetNamespace="http://bpmn.io/schema/bpmn")
     process = X.SubElement(root, q("process"), id="process", isExecutable="false")
-    number = [0]
+    plane = X.SubElement(X.SubElement(root, q("BPMNDiagram", SHAPES), id="diagram"), q("BPMNPlane", SHAPES), id="plane", bpmnElement="process")
+    number, middle = [0], {}
 
-    def node(kind: str, **attrs) -> str:
+    def node(kind: str, column: int, row: int, **attrs) -> str:
         number[0] += 1
-        name = f"n{number[0]}"
+        name, (w, h) = f"n{number[0]}", SIZES.get(kind, GATEWAY)
         X.SubElement(process, q(kind), id=name, **attrs)
+        x, y = column * CELL[0] + CELL[0] // 2, row * CELL[1] + CELL[1] // 2
+        middle[name] = x, y, w // 2
+        shape = X.SubElement(plane, q("BPMNShape", SHAPES), id=f"{name}_shape", bpmnElement=name)
+        X.SubElement(shape, q("Bounds", DC), x=str(x - w // 2), y=str(y - h // 2), width=str(w), height=str(h))
         return name
 
     def flow(a: str, b: str) -> None:
         number[0] += 1
         X.SubElement(process, q("sequenceFlow"), id=f"f{number[0]}", sourceRef=a, targetRef=b)
+        edge = X.SubElement(plane, q("BPMNEdge", SHAPES), id=f"f{number[0]}_edge", bpmnElement=f"f{number[0]}")
+        side = 1 if middle[a][0] <= middle[b][0] else -1  # a flow that goes back leaves on the left
+        for (x, y, half), way in ((middle[a], side), (middle[b], -side)):
+            X.SubElement(edge, q("waypoint", DI), x=str(x + way * half), y=str(y))
 
-    def build(t, entry: str) -> str:
+    def build(t, entry: str, column: int, row: int) -> str:
         kind = t[0]
         if kind == "tau":
             return entry
         if kind == "act":
-            task = node("task", name=t[1])
+            task = node("task", column, row, name=t[1])
             flow(entry, task)
             return task
         if kind == "seq":
             for c in t[1]:
-                entry = build(c, entry)
+                entry = build(c, entry, column, row)
+                column += extent(c)[0]
             return entry
         gateway = "parallelGateway" if kind == "par" else "exclusiveGateway"
-        split, join = node(gateway), node(gateway)
+        split, join = node(gateway, column, row), node(gateway, column + extent(t)[0] - 1, row)
         flow(entry, split)
-        if kind == "loop":
-            flow(build(t[1][0], split), join)
-            for c in t[1][1:]:
-                flow(build(c, join), split)
-        else:
-            for c in t[1]:
-                flow(build(c, split), join)
+        for k, c in enumerate(t[1]):
+            back = kind == "loop" and k > 0
+            flow(build(c, join if back else split, column + 1, row), split if back else join)
+            row += extent(c)[1]
         return join
 
-    start = node("startEvent")
-    last = build(tree, start)
-    flow(last, node("endEvent"))
+    start = node("startEvent", 0, 0)
+    last = build(tree, start, 1, 0)
+    flow(last, node("endEvent", extent(tree)[0] + 1, 0))
     return X.tostring(root, encoding="unicode")

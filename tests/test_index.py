@@ -229,6 +229,27 @@ def test_process_trees(spark, traces, tree):
     assert model.bpmn_xml(found).count("<bpmn:task") == sum(map(len, [set("".join(traces))]))
 
 
+def test_noise_within_a_part(spark):
+    clear = ["ABCD"] * 20 + ["ACBD"] * 20
+    assert model.discover(make(spark, dict(enumerate_names([*clear, "ABCDACBD"]))), 0.2) == model.discover(make(spark, dict(enumerate_names(clear))), 0.2)
+    nodes, edges = set("ABC"), {("A", "B"): 90, ("B", "C"): 90, ("C", "A"): 1, ("B", "A"): 1, ("C", "B"): 1, ("A", "C"): 1, ("C", None): 90}
+    links = {e for e in edges if e[1]}
+    flower = model.process_tree(links, nodes, {"A"}, {"C"}, edges, 0.0)
+    assert model.process_tree(links, nodes, {"A"}, {"C"}, edges, 0.2) == ("seq", [("act", "A"), ("act", "B"), ("act", "C")]) and flower[0] == "loop"
+
+
+def test_places_in_bpmn():
+    from xml.etree import ElementTree
+
+    tree = ("seq", [("act", "A"), ("xor", [("par", [("act", "B"), ("act", "C")]), ("tau",), ("act", "D")]), ("loop", [("act", "E"), ("tau",)])])
+    root = ElementTree.fromstring(model.bpmn_xml(tree))
+    bounds = [tuple(int(e.get(k)) for k in ("x", "y", "width", "height")) for e in root.iter(f"{{{model.DC}}}Bounds")]
+    assert len(bounds) == 5 + 6 + 2 and len(set(bounds)) == len(bounds)
+    apart = lambda a, b: a[0] + a[2] <= b[0] or b[0] + b[2] <= a[0] or a[1] + a[3] <= b[1] or b[1] + b[3] <= a[1]
+    assert all(apart(a, b) for i, a in enumerate(bounds) for b in bounds[:i])
+    assert len(list(root.iter(f"{{{model.SHAPES}}}BPMNEdge"))) == len(list(root.iter(f"{{{model.BPMN}}}sequenceFlow")))
+
+
 def enumerate_names(traces):
     return [(str(i), t) for i, t in enumerate(traces)]
 
