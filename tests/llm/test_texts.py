@@ -369,11 +369,11 @@ def test_decontamination(spark):
             text = text[:at] + [w.upper() if d % 3 == 0 else w for w in own] + text[at:]
             want.add((d, i))
         rows.append((d, " ".join(text)))
-    rows += [(1000, None), (1001, ""), (None, items[3]), (1002, items[2] * 50)]
+    rows += [(1000, None), (1001, ""), (None, items[3]), (1002, items[2] * 50), (1003, "zq zr"), (1004, "zs"), (1005, "a ZQ zr\nzs b zz"), (1006, "ab ab"), (1007, "zy zx zw zv"), (1008, "zu zy zx, zw zv zu")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as item_id")
-    bench = spark.createDataFrame([*items.items(), (100, None), (101, ""), (102, "too short"), (None, "x y z a b c d")], "item_id long, text string")
+    bench = spark.createDataFrame([*items.items(), (100, None), (101, ""), (102, "ab, Ab!"), (103, "zq zr zs"), (104, "zq  ZR-zs"), (105, "zz"), (106, "zy zx zw zv zu"), (None, "x y z a b c d")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contamination(docs, bench).collect()}
-    assert got == want | {(None, 3), (1002, 2)}
+    assert got == want | {(None, 3), (1002, 2), (1005, 103), (1005, 104), (1005, 105), (1006, 102), (1008, 106)}
     kept = decontam.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in got}
@@ -466,3 +466,40 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.collect() == []
+    assert sorted(map(tuple, decontam.drop_contaminated(docs, bench, block=15).collect()), key=str) == sorted(map(tuple, kept.collect()), key=str)
+    only_short = bench.filter("item_id = 105")
+    assert [r.doc_id for r in decontam.contamination(docs, only_short).collect()] == [1005] and decontam.drop_contaminated(docs, only_short).count() == docs.count() - 1
+
+
+def test_the_leak_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abcdef", k=rng.randint(2, 5))) for _ in range(150)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([2, 4, 8, 15, 30, 50])))) for i in range(40)]
+    docs = []
+    for d in range(120):
+        text = rng.choices(words, k=rng.randint(0, 120))
+        for _ in range(rng.randint(0, 2)):
+            own = items[rng.randrange(40)][1].split()
+            at = rng.randint(0, len(text))
+            text[at:at] = [w if rng.random() < 0.85 else rng.choice(words) for w in own]
+        docs.append((d, " ".join(text)))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = decontam.op5_latent_decontamination(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "item_id", "n_words", "n_common", "coverage", "cosine", "answered"]
+    got = {(r.doc_id, r.item_id) for r in out.collect()}
+    want = set()
+    for d, text in docs:
+        text = text.split()
+        for i, item in items:
+            item, answer = item.split(), decontam.answer_of(item).split()
+            if len(item) < 6:
+                if f" {' '.join(item)} " in f" {' '.join(text)} ":
+                    want.add((d, i))
+                continue
+            for a in range(0, max(1, len(text)), 32):
+                near = text[max(0, a - 32) : a + 96]
+                n = lcs(item, near)
+                if n >= 0.8 * len(item) or n >= 0.6 * len(item) and answer and f" {' '.join(answer)} " in f" {' '.join(near)} ":
+                    want.add((d, i))
+    assert len(want) > 40 and got == want
