@@ -6,13 +6,14 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
-from tokenizers import Tokenizer
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from eventloom.llm import bpe_chunks, bpe_words, decontam, html_blocks, secrets, token_files, toolcalls, toxicity, warc_zdict
 from eventloom.llm.common import open_fs
@@ -58,8 +59,6 @@ def test_equal_chunks_are_encoded_once():
     assert coder.encoded <= n + 3 and coder.reused >= n - 3
 
 
-def test_small_cache_changes_nothing(texts, tok):
-    rows = [t or "" for _, t in texts[0]]
 def test_chunks_of_another_vocabulary_equal_the_library(texts, spark):
     import public_tokenizers
 
@@ -115,6 +114,8 @@ def test_columns_of_the_encoding_queries(texts, tok, tmp_path):
     assert {r.doc_id: tuple(r) for r in six.collect()} == want6 and {r.doc_id: tuple(r) for r in four.collect()} == want4
 
 
+def test_small_cache_changes_nothing(texts, tok):
+    rows = [t or "" for _, t in texts[0]]
     coder = bpe_words.WordEncoder(bpe_words.default_vocabulary(), max_words=50)
     for t in rows:
         ids, _ = coder.encode([t])
@@ -176,6 +177,60 @@ def test_html_teasers_are_not_the_article(box):
     assert html_blocks.main_text(PAGE % f"<form id=page><article>{BODY}</article></form>") == TEXT
 
 
+PROSE = "The words of the article are here, and it is as long as a block of prose has to be in order to be one of those that are in the text of a page, which is what this is about."
+
+
+@pytest.mark.parametrize("page,text", [
+    (f'<div class="content with-sidebar"><p>{PROSE}</p></div><div class="sidebar"><p>{PROSE} no</p></div>', PROSE),
+    (f'<div class="layout no-sidebar"><p>{PROSE}</p></div>', PROSE),
+    (f'<div id="privacy-law-essay"><p>{PROSE}</p></div>', PROSE),
+    (f'<aside class="related"><article class="teaser"><p>{PROSE}</p></article></aside>', ""),
+    (f'<nav><article><p>{PROSE}</p></article></nav><div><p>{PROSE} yes</p></div>', f"{PROSE} yes"),
+    (f'<div class="widget"><article><p>{PROSE}</p></article></div>', PROSE),
+    (f'<div id=cookieNotice><p>{PROSE}</p></div>', ""),
+    (f'<form id=page><div><p>{PROSE}</p></div></form>', PROSE),
+    (f'<button>Buy<p>{PROSE}</p><select><option>a<p>{PROSE}</p>', f"Buy {PROSE} {PROSE}"),
+    ("<div>Menu</div><div>Buy now</div>", ""),
+    ("<p>Short words of the day</p>", "Short words of the day"),
+    (f"<!--><p>{PROSE}</p><!-- x --!><script>a</script x><p>{PROSE}</p>", f"{PROSE} {PROSE}"),
+    (f"<p>{PROSE}</p><script>if (a</b) <p>no</p>", PROSE),
+])
+def test_html_names_are_weighed(page, text):
+    assert html_blocks.main_text(page) == text
+
+
+def test_html_takes_linear_time():
+    start = time.time()
+    for page in ("<div>" * 60000 + "</p>" * 60000, "<div class=a>" * 30000 + "x" + "</div>" * 30000, "<p class=b>" * 60000, "<select>" * 60000, "<b a=\"" * 60000, "<!--" * 60000, "&amp" * 60000, "<a href=x>y</a> " * 30000):
+        html_blocks.main_text(page)
+    assert time.time() - start < 20
+
+
+def test_columns_of_the_page_query(spark, tmp_path):
+    spark.createDataFrame([(1, "u", PAGE % f"<article>{BODY}😀</article>"), (1, None, None), (None, "v", "")], "page_id long, url string, html string").selectExpr("*", "1 as text").write.parquet(f"{tmp_path}/pages.parquet")
+    out = html_blocks.op2_html_blocks(spark, str(tmp_path))
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "u", TEXT + " 😀", len(TEXT) + 2), (1, None, "", 0), (None, "v", "", 0)], key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_html_of_composed_pages(seed):
+    """Pages put together from parts of known kinds: exactly the article's blocks come back."""
+    rng = random.Random(seed)
+    words = "the of and in to is that it for with house river walk early letter water stone paper light quiet".split()
+    sentence = lambda n: " ".join(rng.choices(words, k=n)).capitalize() + "."
+    other = [lambda: f"<nav><ul>{''.join(f'<li><a href=/{i}>{sentence(2)}</a></li>' for i in range(5))}</ul></nav>", lambda: f"<div class='ad'>{sentence(30)}</div>", lambda: f"<footer><p>{sentence(40)}</p></footer>",
+             lambda: f"<div class='cookie-notice'>{sentence(30)}</div>", lambda: f"<aside><p>{sentence(60)}</p></aside>", lambda: f"<form><label>{sentence(30)}</label></form>", lambda: f"<div id=comments><p>{sentence(50)}</p></div>",
+             lambda: f"<script>var x = '<p>{sentence(9)}</p>';</script>", lambda: f"<!-- {sentence(9)} -->", lambda: f"<header><p>{sentence(20)}</p></header>"]
+    for _ in range(60):
+        blocks = [sentence(rng.randint(30, 80)) if k % 3 != 1 else sentence(rng.randint(2, 60)) for k in range(rng.randint(1, 12))]
+        marked = rng.random() < 0.5
+        body = "".join(f"<p>{b}</p>" if rng.random() < 0.8 else f"<p><b>{b}</b><br>" for b in blocks)
+        body = f"<article>{body}</article>" if marked else f"<div class='post with-sidebar'>{body}</div>"
+        before, after = ("".join(f() for f in rng.choices(other, k=rng.randint(0, 5))) for _ in range(2))
+        assert html_blocks.main_text(f"<html><head><title>{sentence(4)}</title></head><body>{before}{body}{after}</body></html>") == " ".join(blocks)
+
+
 def test_html_of_odd_pages(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "just text &lt;b", "x"), (4, "u", "<article><p>cut <b>off", "x"), (5, "u", "<p " + "a" * 50000, "x"), (None, "u", "<article>" + "<p>w</p>" * 3000 + "</article>", "x")]
     got = {r.page_id: r.text for r in html_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
@@ -242,6 +297,39 @@ def test_secrets_after_an_equals_sign(spark):
     assert red[0] == "AWS_SECRET_ACCESS_KEY=[SECRET]" and red[1] == "see https://h/?sig=[SECRET]&x=1"
 
 
+def test_no_text_stops_the_scan(spark):
+    rng = random.Random(2)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = ["x " + "a/" * 500_000 + "A1b", "y " + "/a9" * 300_000, "z " + "".join(rng.choices(alphabet, k=60_000)), "h " + "".join(rng.choices("0123456789abcdef", k=60_000)),
+            "r " + "Ab1+" * 200_000, "token=" + "a" * 1_000_000, "AKIA" + "A1" * 300_000, "s " + ("".join(rng.choices(alphabet, k=26)) + "a" * 40) * 800]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: [tuple(s) for s in r.secrets] for r in secrets.scan(df).collect()}
+    for i, t in enumerate(rows):
+        assert got[i] == sorted(set(base_spans(t) + (entropy_spans(t) if i in (2, 3, 7) else []))), i
+    assert len(got[7]) > 100
+
+
+def test_columns_of_the_secrets_query(spark, tmp_path):
+    rng = random.Random(5)
+    value = lambda k, a="0123456789abcdef": "".join(rng.choices(a, k=k))
+    rows = [(1, None), (2, ""), (None, "token=abcdef1")]
+    for i in range(3, 60):
+        rows.append((i, " ".join(rng.choice(["words é", f"api_key = '{value(8)}'", f"AKIA{value(rng.randint(10, 24), 'ABCDEF123')}", value(rng.randint(20, 40)), "passwd:x", f"😀{value(30)}"]) for _ in range(rng.randint(1, 8)))))
+    rows.append(rows[-1])
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as spans", "2 as secrets").write.parquet(f"{tmp_path}/documents.parquet")
+    out = secrets.op3_entropy_secrets(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    want = []
+    for i, t in rows:
+        base = sorted(base_spans(t or ""))
+        listed = lambda spans: ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+        n = collections.Counter(k for *_, k in base)
+        want.append((i, n["assign"], n["access"], n["hex"], hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(set(base + entropy_spans(t or ""))))))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    red = secrets.redact(spark.createDataFrame([(1, "token=abcdef1", "kept")], "doc_id long, text string, spans string").withColumn("__spans", F.lit(3)))
+    assert [tuple(r) for r in red.collect()] == [(1, "[SECRET]", "kept", 3)]
+
+
 def test_archives(spark, tmp_path):
     rng = random.Random(3)
     big = ["<p>" + "".join(rng.choices("abc é", k=1500)) + "</p>" for _ in range(20)]
@@ -278,7 +366,7 @@ def test_tool_calls(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as node", "2 as calls")
     out = toolcalls.link_calls(df, schemas)
     got = {(r.conv_id, r.turn): r for r in out.collect()}
-    assert out.count() == len(set(rows))
+    assert out.count() == len(rows)
     assert {k: r.status for k, r in got.items()} == {(1, 0): "plain", (1, 1): "pending", (1, 2): "linked", (1, 3): "orphan", (2, 5): "linked", (2, 3): "linked", (2, 4): "pending", (2, 6): "plain", (4, 0): "pending",
                                                      (3, 1): "cyclic", (3, 2): "cyclic", (3, 3): "cyclic", (3, 4): "cyclic", (None, None): "plain"}
     order = sorted((r for r in got.values() if r.conv_id == 2), key=lambda r: (r.order_turn, r.order_depth, r.turn))
@@ -289,6 +377,56 @@ def test_tool_calls(spark):
     assert toolcalls.link_calls(df.limit(0)).collect() == []
 
 
+def test_conversations_beyond_the_bound_are_ordered_by_joins(spark):
+    rng = random.Random(4)
+    rows = []
+    for conv in range(30):
+        n = rng.randint(3, 9)
+        turns = rng.sample(range(3 * n), 2 * n)
+        for k in range(n):
+            needs = [f"c{x}" for x in rng.sample(range(n), rng.randint(0, 2)) if x != k]
+            rows.append((conv, turns[k], "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": "f", "arguments": {}, "depends_on": needs}]})))
+            if rng.random() < 0.8:
+                rows.append((conv, turns[n + k], "tool", json.dumps({"tool_call_id": f"c{k}", "content": ""})))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(map(tuple, toolcalls.link_calls(df).collect()))
+    assert got == sorted(map(tuple, toolcalls.link_calls(df, most=8).collect()))
+    place = {(r[0], r[1]): (r[3], r[4], r[1]) for r in got}
+    status = {(r[0], r[1]): r[8] for r in got}
+    assert {"cyclic", "linked"} <= set(status.values())
+    for conv, turn, role, text in rows:
+        body = json.loads(text)
+        for other, t2, _, x in rows:
+            y = json.loads(x)
+            if conv == other and "cyclic" not in (status[conv, turn], status[conv, t2]):
+                if y.get("tool_call_id") and role == "assistant" and y["tool_call_id"] == body["tool_calls"][0]["id"]:
+                    assert place[conv, turn] < place[conv, t2]
+                if y.get("tool_call_id") and role == "assistant" and y["tool_call_id"] in body["tool_calls"][0]["depends_on"]:
+                    assert place[conv, t2] < place[conv, turn]
+
+
+def test_sql_of_the_tool_query(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(c, t, "system" if t == 0 and c % 3 == 0 else rng.choice(["user", "assistant"]) if c > 30 else ["user", "assistant"][(t + (c % 3 == 0)) % 2], "x" * rng.choice([0, 5, 250]) + rng.choice(["", "?", '"é\n']))
+            for c in range(40) for t in range(rng.randint(1, 9))]
+    rows += [rows[0], rows[1], (None, 1, "user", "a"), (None, 2, "assistant", "a"), (90, None, "user", "a"), (91, 0, "user", None), (91, 1, "assistant", None), (92, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as node", "2 as calls", "3 as answered").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    out = toolcalls.op9_tool_calls(spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(out.columns)} from ({toolcalls.OP9_SQL})").fetchall()
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted(want, key=str)
+    assert {"linked", "pending", "orphan", "plain"} == {r[8] for r in got} and any(r[4] > 0 for r in got) and any(r[7] for r in got)
+
+
+def test_numbers_and_depths_of_tool_calls():
+    call = lambda a: toolcalls.parse_message("assistant", '{"tool_calls":[{"id":5,"name":"f","arguments":%s}]}' % a, {"f": {"type": "object"}})
+    assert call("1e400")[1] == [] and call("[1e5]")[1][0]["arguments"] == "[100000.0]" and call("[1e5]")[1][0]["valid"] is False
+    assert call('"{\\"b\\":1,\\"a\\":NaN}"')[1][0]["arguments"].startswith('"{') and call('{"b":1,"a":null}')[1][0] == {"id": '"5"', "name": '"f"', "arguments": '{"a":null,"b":1}', "valid": True, "needs": []}
+    assert call("[" * 100000 + "]" * 100000)[1] == [] and toolcalls.parse_message("tool", "{}", {}) == ('"{}"', [], None)
+
+
 def test_schemas():
     s = {"type": "object", "properties": {"k": {"enum": ["a", 1]}, "l": {"type": "array", "items": {"type": ["number", "null"]}, "maxItems": 2}, "s": {"type": "string", "pattern": "^x", "maxLength": 3}, "o": {"anyOf": [{"type": "boolean"}, {"const": 3}]}}}
     assert toolcalls.problems({"k": 1, "l": [1.5, None], "s": "xy", "o": 3}, s) == []
@@ -297,39 +435,6 @@ def test_schemas():
     assert toolcalls.problems(True, {"type": "integer"}) and not toolcalls.problems(2.0, {"type": "integer"})
 
 
-def test_no_text_stops_the_scan(spark):
-    rng = random.Random(2)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    rows = ["x " + "a/" * 500_000 + "A1b", "y " + "/a9" * 300_000, "z " + "".join(rng.choices(alphabet, k=60_000)), "h " + "".join(rng.choices("0123456789abcdef", k=60_000)),
-            "r " + "Ab1+" * 200_000, "token=" + "a" * 1_000_000, "AKIA" + "A1" * 300_000, "s " + ("".join(rng.choices(alphabet, k=26)) + "a" * 40) * 800]
-    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
-    got = {r.doc_id: [tuple(s) for s in r.secrets] for r in secrets.scan(df).collect()}
-    for i, t in enumerate(rows):
-        assert got[i] == sorted(set(base_spans(t) + (entropy_spans(t) if i in (2, 3, 7) else []))), i
-    assert len(got[7]) > 100
-
-
-def test_columns_of_the_secrets_query(spark, tmp_path):
-    rng = random.Random(5)
-    value = lambda k, a="0123456789abcdef": "".join(rng.choices(a, k=k))
-    rows = [(1, None), (2, ""), (None, "token=abcdef1")]
-    for i in range(3, 60):
-        rows.append((i, " ".join(rng.choice(["words é", f"api_key = '{value(8)}'", f"AKIA{value(rng.randint(10, 24), 'ABCDEF123')}", value(rng.randint(20, 40)), "passwd:x", f"😀{value(30)}"]) for _ in range(rng.randint(1, 8)))))
-    rows.append(rows[-1])
-    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as spans", "2 as secrets").write.parquet(f"{tmp_path}/documents.parquet")
-    out = secrets.op3_entropy_secrets(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-    want = []
-    for i, t in rows:
-        base = sorted(base_spans(t or ""))
-        listed = lambda spans: ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
-        n = collections.Counter(k for *_, k in base)
-        want.append((i, n["assign"], n["access"], n["hex"], hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(set(base + entropy_spans(t or ""))))))
-    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
-    red = secrets.redact(spark.createDataFrame([(1, "token=abcdef1", "kept")], "doc_id long, text string, spans string").withColumn("__spans", F.lit(3)))
-    assert [tuple(r) for r in red.collect()] == [(1, "[SECRET]", "kept", 3)]
-
-
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -380,6 +485,43 @@ def test_decontamination(spark):
     assert decontam.contamination(docs.limit(0), bench).collect() == [] and decontam.contamination(docs, bench.limit(0)).collect() == []
     blocks = {(r.doc_id, r.item_id) for r in decontam.contamination(docs, bench, block=15).collect()}
     assert blocks == got
+    assert sorted(map(tuple, decontam.drop_contaminated(docs, bench, block=15).collect()), key=str) == sorted(map(tuple, kept.collect()), key=str)
+    only_short = bench.filter("item_id = 105")
+    assert [r.doc_id for r in decontam.contamination(docs, only_short).collect()] == [1005] and decontam.drop_contaminated(docs, only_short).count() == docs.count() - 1
+
+
+def test_the_leak_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abcdef", k=rng.randint(2, 5))) for _ in range(150)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([2, 4, 8, 15, 30, 50])))) for i in range(40)]
+    docs = []
+    for d in range(120):
+        text = rng.choices(words, k=rng.randint(0, 120))
+        for _ in range(rng.randint(0, 2)):
+            own = items[rng.randrange(40)][1].split()
+            at = rng.randint(0, len(text))
+            text[at:at] = [w if rng.random() < 0.85 else rng.choice(words) for w in own]
+        docs.append((d, " ".join(text)))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = decontam.op5_latent_decontamination(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "item_id", "n_words", "n_common", "coverage", "cosine", "answered"]
+    got = {(r.doc_id, r.item_id) for r in out.collect()}
+    want = set()
+    for d, text in docs:
+        text = text.split()
+        for i, item in items:
+            item, answer = item.split(), decontam.answer_of(item).split()
+            if len(item) < 6:
+                if f" {' '.join(item)} " in f" {' '.join(text)} ":
+                    want.add((d, i))
+                continue
+            for a in range(0, max(1, len(text)), 32):
+                near = text[max(0, a - 32) : a + 96]
+                n = lcs(item, near)
+                if n >= 0.8 * len(item) or n >= 0.6 * len(item) and answer and f" {' '.join(answer)} " in f" {' '.join(near)} ":
+                    want.add((d, i))
+    assert len(want) > 40 and got == want
 
 
 def test_no_paraphrase_is_lost_by_the_space(spark):
@@ -456,9 +598,11 @@ def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ids = [r.doc_id for r in docs.collect()]
+    extra = docs.selectExpr("*", *[f"{k} as {n}" for k, n in enumerate("gone again spans row leak text_key labelled component_id toxic rep".split())])
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        plain, wide = stage(spark, docs, sf), stage(spark, extra, sf)
+        assert plain.columns == docs.columns and wide.columns == extra.columns, name
+        assert sorted(wide.select(*docs.columns).collect()) == sorted(plain.collect()) and wide.filter("gone <> 0 or rep <> 9").isEmpty(), name
     out = corpus_pipeline.run(spark, sf).collect()
     assert 0.5 * len(ids) < len(out) <= len(ids) and {r.doc_id for r in out} <= set(ids)
     assert all(r.n_tokens == len(r.ids) for r in out)
@@ -466,40 +610,3 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.collect() == []
-    assert sorted(map(tuple, decontam.drop_contaminated(docs, bench, block=15).collect()), key=str) == sorted(map(tuple, kept.collect()), key=str)
-    only_short = bench.filter("item_id = 105")
-    assert [r.doc_id for r in decontam.contamination(docs, only_short).collect()] == [1005] and decontam.drop_contaminated(docs, only_short).count() == docs.count() - 1
-
-
-def test_the_leak_query_equals_brute_force(spark, tmp_path):
-    rng = random.Random(31)
-    words = ["".join(rng.choices("abcdef", k=rng.randint(2, 5))) for _ in range(150)]
-    items = [(i, " ".join(rng.choices(words, k=rng.choice([2, 4, 8, 15, 30, 50])))) for i in range(40)]
-    docs = []
-    for d in range(120):
-        text = rng.choices(words, k=rng.randint(0, 120))
-        for _ in range(rng.randint(0, 2)):
-            own = items[rng.randrange(40)][1].split()
-            at = rng.randint(0, len(text))
-            text[at:at] = [w if rng.random() < 0.85 else rng.choice(words) for w in own]
-        docs.append((d, " ".join(text)))
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = decontam.op5_latent_decontamination(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "item_id", "n_words", "n_common", "coverage", "cosine", "answered"]
-    got = {(r.doc_id, r.item_id) for r in out.collect()}
-    want = set()
-    for d, text in docs:
-        text = text.split()
-        for i, item in items:
-            item, answer = item.split(), decontam.answer_of(item).split()
-            if len(item) < 6:
-                if f" {' '.join(item)} " in f" {' '.join(text)} ":
-                    want.add((d, i))
-                continue
-            for a in range(0, max(1, len(text)), 32):
-                near = text[max(0, a - 32) : a + 96]
-                n = lcs(item, near)
-                if n >= 0.8 * len(item) or n >= 0.6 * len(item) and answer and f" {' '.join(answer)} " in f" {' '.join(near)} ":
-                    want.add((d, i))
-    assert len(want) > 40 and got == want
