@@ -86,10 +86,16 @@ def activity_pairs(log: DataFrame) -> DataFrame:
     return a.join(a.select(F.col("source").alias("target")), F.col("source") < F.col("target"))
 
 
+def alphabet_of(log: DataFrame, most: int = 100_000) -> DataFrame:
+    """One row: the sorted activities of the log; an error beyond ``most``, so that the row can be broadcast. Templates over all pairs give more rows than anyone reads long before that."""
+    names = log.select("activity").distinct().agg(F.array_sort(F.collect_list("activity")).alias("alphabet"))
+    fits = F.when(F.size("alphabet") <= most, F.col("alphabet")).otherwise(F.raise_error(F.lit(f"more than {most} activities")))
+    return F.broadcast(names.select(fits.alias("alphabet")))
+
+
 def unordered(log: DataFrame) -> DataFrame:
     """coexistence, choice and exclusive_choice of every two activities of the log, for each trace with one of them."""
-    alphabet = log.agg(F.collect_set("activity").alias("alphabet"))
-    sets = log.groupBy("trace_id").agg(F.collect_set("activity").alias("own")).crossJoin(F.broadcast(alphabet))
+    sets = log.groupBy("trace_id").agg(F.collect_set("activity").alias("own")).crossJoin(alphabet_of(log))
     both = sets.select("trace_id", "own", "alphabet", F.explode("own").alias("a")).select("trace_id", "own", "a", F.explode("alphabet").alias("b")).filter("a <> b")
     both = both.withColumn("other", F.array_contains("own", F.col("b"))).filter("not other or a < b")
     both = both.select("trace_id", F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), "other")
@@ -103,11 +109,10 @@ def negation(log: DataFrame) -> DataFrame:
 
     The rows are the answer, one for each trace and pair; ``negation_support`` counts them without making them.
     """
-    traces = log.groupBy("trace_id").agg(F.collect_set("activity").alias("own"))
-    alphabet = F.broadcast(activity_pairs(log).agg(F.collect_list(F.struct("source", "target")).alias("pairs")))
-    out = traces.crossJoin(alphabet).select("trace_id", "own", F.explode("pairs").alias("p"))
-    out = out.filter(~(F.array_contains("own", F.col("p.source")) & F.array_contains("own", F.col("p.target"))))
-    return rows(out.select("trace_id", "p.source", "p.target"), "not_coexistence", target=F.col("target"))
+    traces = log.groupBy("trace_id").agg(F.collect_set("activity").alias("own")).crossJoin(alphabet_of(log))
+    out = traces.withColumn("source", F.explode("alphabet")).withColumn("held", F.array_contains("own", F.col("source")))
+    targets = F.expr("filter(alphabet, b -> b > source AND NOT (held AND array_contains(own, b)))")
+    return rows(out.select("trace_id", "source", F.explode(targets).alias("target")), "not_coexistence", target=F.col("target"))
 
 
 def negation_support(log: DataFrame) -> DataFrame:
