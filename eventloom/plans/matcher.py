@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventloom.plans.pattern import ONE, OPT, PLUS, STAR, Event, Variable, linear
 
@@ -113,6 +113,28 @@ def plan(log: DataFrame, branch: list[Event]) -> DataFrame:
     return hit.select("trace_id", F.transform(F.concat(*parts), lambda k: F.col("seq")[k]["position"]).alias("positions"))
 
 
+def is_pair(branch: list[Event]) -> bool:
+    """Whether ``pair_plan`` serves the branch: two single events, the second with variables of the first."""
+    if len(branch) != 2 or any(e.negated or e.quantifier == PLUS for e in branch) or has_variables(branch[:1]):
+        return False
+    return any(isinstance(v, Variable) and v.n == 1 for _, v in branch[1].attributes)
+
+
+def pair_plan(log: DataFrame, branch: list[Event]) -> DataFrame:
+    """(trace_id, positions) of the least match of a pair: the events of equal values of a trace in order, and the next second event of each first one."""
+    a, b = branch
+    literal = lambda e: tuple((k, v) for k, v in e.attributes if not isinstance(v, Variable))
+    is_a, is_b = ((F.col("activity") == e.label) & holds(literal(e)) for e in (a, b))
+    asked = [(k, v) for k, v in b.attributes if isinstance(v, Variable) and v.n == 1]  # places beyond the pattern are ignored
+    value = lambda k, v, shift: F.col("attributes").getItem(k) if v.offset is None else (F.col("attributes").getItem(k).try_cast("double") + F.lit(float(shift * v.offset))).cast("string")
+    roles = F.array(*[F.when(test, F.struct(F.lit(first).alias("first"), F.array(*[value(k, v, first) for k, v in asked]).alias("values"))) for first, test in ((1, is_a), (0, is_b))])
+    rows = log.filter(F.col("activity").isin(a.label, b.label)).select("trace_id", "position", F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("r")).select("trace_id", "position", "r.*")
+    rows = rows.filter(F.forall("values", lambda v: v.isNotNull()))
+    later = Window.partitionBy("trace_id", "values").orderBy(F.desc("position")).rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("next", F.min(F.when(F.col("first") == 0, F.col("position"))).over(later)).filter("first = 1 and next is not null")
+    return rows.groupBy("trace_id").agg(F.min(F.struct("position", "next")).alias("m")).select("trace_id", F.array("m.position", "m.next").alias("positions"))
+
+
 # backtracking over one trace
 
 
@@ -315,8 +337,9 @@ def matches(log: DataFrame, text: str, bounds: list[Bound] | None = None, every:
     if every:
         return match_all(log, found, True)
     regular = [b for b, own in found if not own and is_regular(b)]
-    hard = [(b, own) for b, own in found if own or not is_regular(b)]
-    parts = [plan(log, b) for b in regular]
+    pairs = [b for b, own in found if not own and is_pair(b)]
+    hard = [(b, own) for b, own in found if own or not is_regular(b) and not is_pair(b)]
+    parts = [plan(log, b) for b in regular] + [pair_plan(log, b) for b in pairs]
     if hard:
         parts.append(match_all(log, hard))
     out = reduce(DataFrame.union, parts)

@@ -142,6 +142,17 @@ def test_what_follows_a_pattern_with_variables(spark):
     assert got == {"click": 1.0, "purchase": 1.0}
 
 
+@pytest.mark.parametrize("text", ["A B[k=$1]", "A A[k=$1+1]", 'A[j="0"] B[k=$1,j=$1]', 'A B[k=$1-2,j="1"]', "A B[k=$2,j=$1]"])
+def test_pairs_with_variables(spark, text):
+    rng = random.Random(text)
+    rows = [(rng.choice("ABC"), str(t), p, p, {"k": rng.choice(["0", "1", "2", "x", "2.0"]), **({"j": rng.choice("01")} if rng.random() < 0.8 else {})}) for t in range(150) for p in range(rng.randint(1, 9))]
+    log = spark.createDataFrame(rows, SCHEMA)
+    branch = pattern.linear(text)[0]
+    assert matcher.is_pair(branch)
+    got = {r.trace_id: r.positions for r in matcher.matches(log, text).collect()}
+    assert got and got == {r.trace_id: r.positions for r in matcher.match_all(log, [branch]).collect()}
+
+
 def test_many_events_in_a_branch(spark):
     names = [f"e{i}" for i in range(40)]
     log = spark.createDataFrame([(a, t, p, p, {"k": str(p)}) for t, s in {"x": names, "y": names[::-1]}.items() for p, a in enumerate(s)], SCHEMA)
