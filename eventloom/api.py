@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from eventloom.operators import analyse, compare, indexing, mine, mining, model, query
 from eventloom.operators.log import SCHEMA
 from eventloom.plans.matcher import Bound
+from eventloom.plans.pattern import expand_compact
 from eventloom.sources import sinks
-from eventloom.sources.readers import Mapping, json_stream, kafka_stream, read_log
+from eventloom.sources.readers import Mapping, collect_json, json_stream, kafka_stream, read_log
 from eventloom.sources.store import LogStore
 from eventloom.streaming.index_stream import index_stream
 
@@ -52,12 +53,12 @@ class Engine:
     # indexing
 
     def indexing_run(self, c: dict) -> dict:
-        """path, kind, mapping, timestamp_format, lookback, clear_existing; batch, a number that makes a repeated call do nothing."""
-        checked(c, "path kind mapping timestamp_format lookback clear_existing batch")
+        """path, kind, mapping with timestamp_format and types, lookback, clear_existing; batch, a number that makes a repeated call do nothing."""
+        checked(c, "path kind mapping timestamp_format types lookback clear_existing batch")
         store = self.store(c)
         if c.get("clear_existing"):
             store.clear()
-        mapping = Mapping(c["mapping"], c.get("timestamp_format")) if "mapping" in c else None
+        mapping = Mapping(c["mapping"], c.get("timestamp_format"), c.get("types", {})) if "mapping" in c else None
         return indexing.ingest(store, read_log(self.spark, c["path"], mapping, c.get("kind")), c.get("lookback"), number=c.get("batch"))
 
     def indexing_stream(self, c: dict) -> dict:
@@ -70,25 +71,37 @@ class Engine:
             query.awaitTermination()
         return {"id": str(query.id), "facts": self.store(c).facts()}
 
+    def indexing_collect(self, c: dict) -> dict:
+        """servers, topic, path, checkpoint, mapping, every: messages are appended to JSON lines in ``path`` until the stream is stopped."""
+        checked(c, "servers topic path checkpoint mapping every")
+        stream = kafka_stream(self.spark, c["servers"], c["topic"], Mapping(c["mapping"]) if "mapping" in c else None)
+        return {"id": str(collect_json(stream, c["path"], c["checkpoint"], c.get("every", "10 seconds")).id)}
+
     # patterns
 
+    @staticmethod
+    def pattern(c: dict) -> str:
+        """The pattern; with ``compact`` every letter of it is an activity."""
+        return expand_compact(c["pattern"]) if c.get("compact") else c["pattern"]
+
     def querying_statistics(self, c: dict) -> DataFrame:
-        checked(c, "pattern")
-        return query.statistics(self.store(c).read("count_table"), c["pattern"])
+        """pattern, compact; info to add the pairs that say something of its repeated, negated and constrained events."""
+        checked(c, "pattern compact info")
+        return query.statistics(self.store(c).read("count_table"), self.pattern(c), c.get("info", False))
 
     def querying_detection(self, c: dict) -> DataFrame:
-        """pattern, support_threshold; return_all for all matches that don't overlap; constraints, a list of {kind: time or gap, from, to, least, most}
+        """pattern, compact, support_threshold; return_all for all matches that don't overlap; constraints, a list of {kind: time or gap, from, to, least, most}
         between the pattern's positive events, counted from 0; use_index to prune by the stored pairs, unless they were limited by a lookback."""
-        checked(c, "pattern support_threshold return_all constraints use_index")
+        checked(c, "pattern compact support_threshold return_all constraints use_index")
         store = self.store(c)
         pairs = store.read("pairs_index") if c.get("use_index") and not store.facts().get("lookback") else None
         bounds = [Bound(b["from"], b["to"], b.get("least"), b.get("most"), b.get("kind", "time")) for b in c.get("constraints", [])]
-        return query.detect(self.log(c, "activity_index"), c["pattern"], pairs, c.get("support_threshold", 0.0), bounds, c.get("return_all", False), self.trace_count(c))
+        return query.detect(self.log(c, "activity_index"), self.pattern(c), pairs, c.get("support_threshold", 0.0), bounds, c.get("return_all", False), self.trace_count(c))
 
     def querying_exploration(self, c: dict) -> DataFrame:
-        """pattern, explore_mode (accurate, fast, hybrid), explore_k, support_threshold."""
-        checked(c, "pattern explore_mode explore_k support_threshold")
-        return query.explore(self.log(c, "activity_index"), self.store(c).read("count_table"), c["pattern"], c.get("explore_mode", "accurate"), c.get("explore_k", 0), c.get("support_threshold", 0.0), self.trace_count(c))
+        """pattern, compact, explore_mode (accurate, fast, hybrid), explore_k, support_threshold."""
+        checked(c, "pattern compact explore_mode explore_k support_threshold")
+        return query.explore(self.log(c, "activity_index"), self.store(c).read("count_table"), self.pattern(c), c.get("explore_mode", "accurate"), c.get("explore_k", 0), c.get("support_threshold", 0.0), self.trace_count(c))
 
     # constraints
 

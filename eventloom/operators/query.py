@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from eventloom.functions.scores import ratio
 from eventloom.operators.log import with_trace_count
 from eventloom.plans.matcher import Bound, followers, matches
-from eventloom.plans.pattern import STAR, OPT, activities, responded_pairs
+from eventloom.plans.pattern import STAR, OPT, activities, info_pairs, responded_pairs
 
 
 def exact_pairs(pairs: set[tuple[str, str]]):
@@ -21,9 +21,9 @@ def exact_pairs(pairs: set[tuple[str, str]]):
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def statistics(counts: DataFrame, pattern: str) -> DataFrame:
-    """Rows of the count table for the pairs that the pattern needs, with their average and deviation."""
-    wanted = {(p["source"], p["target"]) for p in responded_pairs(pattern)}
+def statistics(counts: DataFrame, pattern: str, info: bool = False) -> DataFrame:
+    """Rows of the count table for the pairs that the pattern needs, and with ``info`` those that say something of its other events, with their average and deviation."""
+    wanted = {(p["source"], p["target"]) for p in responded_pairs(pattern)} | set(info_pairs(pattern) if info else [])
     n = F.col("total_completions")
     mean = F.col("total_duration") / n
     var = F.greatest(F.col("sum_squared_duration") / n - mean * mean, F.lit(0.0))

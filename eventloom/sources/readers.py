@@ -15,10 +15,14 @@ PLAIN_DEFAULTS = {"trace_id": "trace_id", "activity": "activity", "position": "p
 
 @dataclass(frozen=True)
 class Mapping:
-    """Source column of each event field; attributes: ["*"] for all other columns, a list, or none."""
+    """Source column of each event field; attributes: ["*"] for all other columns, a list, or none.
+
+    types: of attributes, int, float, boolean, date or string; a value that isn't of its type is left out.
+    """
 
     columns: dict = field(default_factory=lambda: dict(PLAIN_DEFAULTS))
     timestamp_format: str | None = None
+    types: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if unknown := set(self.columns) - set(FIELDS):
@@ -53,7 +57,7 @@ def to_events(df: DataFrame, mapping: Mapping, order: list[Column] | None = None
     used = set(mapping.source_names())
     names = [n for n in df.columns if n not in used and not n.startswith("__")] if wanted == ["*"] else [a for a in wanted if a in df.columns]
     if names:
-        attributes = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"`{n}`").cast("string") for n in names])), lambda k, v: v.isNotNull())
+        attributes = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[cast_value(F.col(f"`{n}`"), mapping.types.get(n, "string")).cast("string") for n in names])), lambda k, v: v.isNotNull())
     else:
         attributes = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     position = at("position")

@@ -187,6 +187,9 @@ def test_sources(spark, tmp_path):
     mapping = readers.Mapping({"trace_id": "c", "activity": "a", "start_timestamp": "w", "attributes": ["z"]})
     rows = readers.read_log(spark, f"{tmp_path}/l.json", mapping).orderBy("position").collect()
     assert [(r.activity, r.start_timestamp, r.attributes) for r in rows] == [("B", 3, {"z": "2"}), ("A", 5, {"z": "1"})]
+    typed = readers.Mapping({**mapping.columns, "attributes": ["z", "y"]}, types={"z": "int", "y": "float"})
+    (tmp_path / "t.json").write_text(json.dumps([{"c": "x", "a": "A", "w": 5, "z": "one", "y": "2"}, {"c": "x", "a": "B", "w": 6, "z": "7", "y": None}]))
+    assert [r.attributes for r in readers.read_log(spark, f"{tmp_path}/t.json", typed).orderBy("position").collect()] == [{"y": "2.0"}, {"z": "7"}]
     with pytest.raises(ValueError):
         readers.read_log(spark, "x.pdf")
     with pytest.raises(ValueError):
@@ -284,6 +287,8 @@ def test_endpoints(spark, tmp_path):
             with pytest.raises(urllib.error.HTTPError):
                 post("querying/detection", **bad)
         assert sorted(r["positions"] for r in post("querying/detection", pattern="B C", return_all=True, constraints=[{"from": 0, "to": 1, "most": 1}])) == [[0, 1], [1, 2]]
+        assert [r["trace_id"] for r in post("querying/detection", pattern="BCD", compact=True)] == ["3"]
+        assert {(r["source"], r["target"]) for r in post("querying/statistics", pattern="A !B C", info=True)} == {("A", "C"), ("A", "B")}
         assert post("querying/detection", pattern="B C", constraints=[{"kind": "gap", "from": 0, "to": 1, "least": 1}]) == []
         assert "<svg" in post("comparing/ngrams", separating_group=["D"], as_page=True) and "<table" in post("analysing/attribute_deviations", as_page=True)
         assert post("analysing/directly_follows", write_to=f"{tmp_path}/df") == {"path": f"{tmp_path}/df"} and spark.read.json(f"{tmp_path}/df").count() == 4
