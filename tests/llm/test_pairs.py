@@ -60,6 +60,28 @@ def test_vectors(spark):
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_ego.near_vectors(df).collect() == []
+    df = spark.createDataFrame([(None, [0.0]), (None, [1.0]), (3, None)], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embed_ego.near_vectors(df).collect()), key=str) == [(3, 0, 3, True), (None, 0, None, False), (None, 0, None, False)]
+
+
+def test_vectors_that_share_an_id(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (0, [-1.0, 0.0]), (5, [-1.0, -1.0]), (5, None)], "vec_id long, embedding array<double>").selectExpr("vec_id", "cast(embedding as array<decimal(20,10)>) as embedding")
+    got = sorted(map(tuple, embed_ego.near_vectors(df, 0.9).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (0, 0, 0, True), (5, 0, 5, True), (5, 0, 5, True)], key=str)
+
+
+def test_tree_of_intervals(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 6))
+    x = np.concatenate([base, base[rng.integers(0, 40, 260)] + rng.normal(scale=0.1, size=(260, 6))])
+    monkeypatch.setattr(embed_ego, "BLOCK", 8)
+    monkeypatch.setattr(embed_ego, "SUPER", 2)
+    monkeypatch.setattr(embed_ego, "FAN", 2)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_ego.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    root = roots_of(range(300), [(a, b) for a, b in zip(*np.nonzero(near)) if a < b])
+    assert got == {i: (int(near[i].sum()) - 1, root[i]) for i in range(300)}
 
 
 def shingles(text, n):
