@@ -19,19 +19,18 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from eventloom.llm.bpe_words import default_vocabulary, encoder
-from eventloom.llm.common import new_folder, open_fs, stored, text_batches
+from eventloom.llm.common import dictionary_of, new_folder, open_fs, stored, text_batches
 
 MARK = b"EVTOKID1"
 FIELDS = (("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("size", "<u4"), ("count", "<u8"))
 
 
-def train_dictionary(docs: DataFrame, vocabulary: str, width: int, end_id: int, sample: int, size: int) -> bytes:
-    """A dictionary from the serialised ids of about ``sample`` documents, picked by a hash of their id.
+def train_dictionary(docs: DataFrame, vocabulary: str, width: int, end_id: int, sample: int, size: int, most_bytes: int = 16384) -> bytes:
+    """A dictionary from the serialised ids of about ``sample`` documents, picked by a hash of their id, ``most_bytes`` of each.
 
-    Only the compression ratio depends on it; an empty result means that there was too little to train on.
+    Only the compression ratio depends on it. Of a longer document a run of ids at a place given by
+    its length is taken, so the driver gets at most 4 * ``sample`` * ``most_bytes`` bytes.
     """
-    import zstandard
-
     every = max(1, docs.count() // sample)
     picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
 
@@ -43,15 +42,11 @@ def train_dictionary(docs: DataFrame, vocabulary: str, width: int, end_id: int,
             ids, count = coder.encode(texts)
             at = np.concatenate([[0], np.cumsum(count)])
             out = [serialise(ids[a:b], end_id, width) for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["data"])
+            first = [len(x) * 7919 % (len(x) - most_bytes) // width * width if len(x) > most_bytes else 0 for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k : k + most_bytes] for x, k in zip(out, first)], pa.binary())], ["data"])
 
     blobs = [bytes(r.data) for r in picked.mapInArrow(run, "data binary").limit(4 * sample).collect()]
-    if len(blobs) < 16:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, blobs).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    return dictionary_of(blobs, size) if blobs else b""
 
 
 def serialise(ids: np.ndarray, end_id: int, width: int) -> bytes:
@@ -118,11 +113,12 @@ class FileReader:
         return np.frombuffer(self.press.decompress(frame), dtype=f"<u{self.width}").astype("<u4")
 
     def blocks(self, most: int = 4_000_000):
-        """(documents a to b, their ids one after another), read in runs of about ``most`` bytes."""
+        """(documents a to b, their ids one after another), in runs of at most ``most`` ids or a single document."""
         offset, size = self.index["offset"].astype(np.int64), self.index["size"].astype(np.int64)
+        ids = np.cumsum(self.index["count"].astype(np.int64))  # a frame of few bytes can hold many
         a = 0
         while a < len(offset):
-            b = max(a + 1, int(np.searchsorted(offset + size, offset[a] + most, side="right")))
+            b = max(a + 1, int(np.searchsorted(ids, (ids[a - 1] if a else 0) + most, side="right")))
             raw = self._part(int(offset[a]), int(offset[b - 1] + size[b - 1] - offset[a]))
             cut = [raw[o : o + s] for o, s in zip((offset[a:b] - offset[a]).tolist(), size[a:b].tolist())]
             data = b"".join(map(self.press.decompress, cut))
@@ -142,12 +138,11 @@ def write_files(
 ) -> DataFrame:
     """Write the ids of every whole text, ``end_id`` after each, and return the manifest.
 
-    Manifest, one row per file: path, dictionary (its path, null without one), part, piece, n_docs,
-    n_tokens and start (ids in all files before it). Documents lie in ascending order of doc_id,
+    Manifest, one row per file: path, dictionary (its path), part, piece, n_docs, n_tokens and start (ids in all files before it). Documents lie in ascending order of doc_id,
     null ids first, equal ids in the order of their texts. Null texts count as empty. The one
     shuffle deals the texts out by ranges of doc_id; files are written under names of their own
     and named by the stored manifest only once complete, so a repeated task leaves at most a
-    file that nothing refers to. An empty table gives an empty manifest.
+    file that nothing refers to. An empty table gives an empty manifest; other columns are not read.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
@@ -192,7 +187,7 @@ def write_files(
 
     schema = "path string, dictionary string, part long, piece long, n_docs long, n_tokens long"
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = stored(ordered.mapInArrow(run, schema), "token-manifest")
+    manifest = stored(ordered.mapInArrow(run, schema), "token-manifest", kept=True)
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
