@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from eventloom.llm.common import new_folder, open_fs, stored, text_batches
+from eventloom.llm.common import dictionary_of, new_folder, open_fs, stored, text_batches
 
 #: Magic number of the skippable frame that holds the dictionary (fixed value of the file format).
 DICT_FRAME = 0x184D2A5D
@@ -75,16 +75,10 @@ class ArchiveWriter:
     def _begin(self) -> None:
         import zstandard
 
-        dictionary = None
-        if len(self.held) >= 16:
-            try:
-                dictionary = zstandard.train_dictionary(self.dictionary_size, self.held)
-            except zstandard.ZstdError:
-                pass
+        dictionary = zstandard.ZstdCompressionDict(dictionary_of(self.held, self.dictionary_size))
+        packed = zstandard.ZstdCompressor(level=self.level).compress(dictionary.as_bytes())
         self.size = 0
-        if dictionary is not None:
-            packed = zstandard.ZstdCompressor(level=self.level).compress(dictionary.as_bytes())
-            self._put(struct.pack("<II", DICT_FRAME, len(packed)) + packed)
+        self._put(struct.pack("<II", DICT_FRAME, len(packed)) + packed)
         self.press = zstandard.ZstdCompressor(level=self.level, dict_data=dictionary)
         held, self.held = self.held, None
         for x in held:
@@ -163,7 +157,7 @@ def write_archives(
         .filter("n > 1 and kept.page_id is not null")
         .select("sha1", "payload", F.col("kept.page_id").alias("to_id"), F.col("kept.url").alias("to_url"))
     )
-    groups = stored(groups, "warc-groups").withColumnsRenamed({"sha1": "to_sha1"})
+    groups = stored(groups, "warc-groups", kept=True).withColumnsRenamed({"sha1": "to_sha1"})
     joined = rows.join(groups, (rows["sha1"] == groups["to_sha1"]) & (rows["size"] == groups["payload"]), "left")
     again = F.col("to_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to_id"))
     joined = joined.select("page_id", "url", F.when(again, "").otherwise(F.col("html")).alias("html"), "size", "sha1", F.when(again, F.col("to_id")).alias("to_id"), F.when(again, F.col("to_url")).alias("to_url"))
@@ -191,7 +185,7 @@ def write_archives(
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], ["path", "n_records"])
 
-    return stored(joined.mapInArrow(run, "path string, n_records long"), "warc-manifest")
+    return stored(joined.mapInArrow(run, "path string, n_records long"), "warc-manifest", kept=True)
 
 
 def read_archives(manifest: DataFrame, most_tasks: int = 10_000) -> DataFrame:
