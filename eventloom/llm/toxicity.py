@@ -216,11 +216,13 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean_rows: int = 2500) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean_rows: int = 2500, most_words: int = 20000) -> Model | None:
     """A model from at most ``toxic_rows`` and ``clean_rows`` labelled documents, the first by a hash of doc_id.
 
-    Rows whose crc32(doc_id) mod 4 is 2 are never used. Null labels, ids and texts are left out.
-    None without a row of each label.
+    Of these, documents of more than ``most_words`` words are not learnt from, so the driver holds
+    at most their number times ``most_words`` times 16 bytes, whatever the texts. Rows whose
+    crc32(doc_id) mod 4 is 2 are never used. Null labels, ids and texts are left out. None without
+    a row of each label.
     """
     usable = labels.filter("doc_id is not null and toxic is not null").filter(~is_held_out())
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -238,14 +240,15 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean_rows:
             found, count = features(texts)
             at = np.concatenate([[0], np.cumsum(count)])
             blobs = [found[a:b].tobytes() for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([ids, langs, toxic, pa.array(blobs, pa.binary())], ["doc_id", "lang", "toxic", "features"])
+            usable = pa.array(count <= most_words)
+            yield pa.RecordBatch.from_arrays([ids, langs, toxic, pa.array(blobs, pa.binary())], ["doc_id", "lang", "toxic", "features"]).filter(usable)
 
     sample = rows.mapInArrow(run, "doc_id long, lang string, toxic int, features binary").toArrow()
     ids, y = sample.column("doc_id").to_numpy(), sample.column("toxic").to_numpy().astype(np.int64)
-    langs, data = sample.column("lang").to_pylist(), sample.column("features").combine_chunks()
+    langs, data = sample.column("lang").to_pylist(), sample.column("features").cast("large_binary").combine_chunks()
     if not (y == 0).any() or not (y == 1).any():
         return None
-    at = np.frombuffer(data.buffers()[1], dtype=np.int32)[data.offset : data.offset + len(data) + 1]
+    at = np.frombuffer(data.buffers()[1], dtype=np.int64)[data.offset : data.offset + len(data) + 1]
     found = [np.frombuffer(data.buffers()[2], dtype=np.int32, count=(b - a) // 4, offset=a).reshape(-1, FEATURES) for a, b in zip(at.tolist(), at[1:].tolist())]
     order = sorted(range(len(ids)), key=lambda i: (int(ids[i]) * 0x9E3779B97F4A7C15 % (1 << 64), len(found[i])))
     y, found = y[order], [found[i] for i in order]
