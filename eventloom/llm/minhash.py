@@ -231,17 +231,21 @@ def grouped(docs: DataFrame, facts: DataFrame, words: int, percent: int) -> tupl
 def cross_links(members: DataFrame, sets: DataFrame, percent: int, side: int = 256) -> DataFrame:
     """Links (a, b), as doc_ids, that connect what the links between different groups of one star connect.
 
-    members: (first, c, group), a row per first class and class that met it. The classes of a
-    star with several groups are cut by a hash into ceil(n / side) parts, and each pair of parts
-    is a tile that holds the full sets. A tile compares the classes of different groups whose
+    members: (first, c, group), a row per first class and class that met it. What the links have
+    joined to the first class is the star's main group; it needs no comparison within itself.
+    Main and other classes are cut by a hash into parts of about ``side``, and each pair of parts
+    that aren't both main is a tile that holds the full sets: a star of n classes of which few
+    are apart costs n times these few. A tile compares the classes of different groups whose
     signatures differ in at most DISTANCE components and returns a link only where it joins two
     groups, so it has fewer links than classes.
     """
-    sizes = members.groupBy("first").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.expr(f"cast(ceil(count(*) / {side}) as int)").alias("parts"))
-    sizes = sizes.filter("lo <> hi").select(F.col("first").alias("star"), "parts")
-    rows = members.join(sizes, members["first"] == sizes["star"]).join(sets, members["c"] == sets["id"])
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("c", "first"), F.col("parts")).cast("int"))
-    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    mains = members.filter("c = first").select(F.col("first").alias("star"), F.col("group").alias("main"))
+    rows = members.join(mains, members["first"] == mains["star"]).select("star", "c", "group", (F.col("group") != F.col("main")).alias("apart"))
+    parts = lambda test: F.expr(f"cast(ceil(count_if({test}) / {side}) as int)")
+    sizes = rows.groupBy(F.col("star").alias("of_star")).agg(parts("apart").alias("n_apart"), parts("not apart").alias("n_main")).filter("n_apart > 0")
+    rows = rows.join(sizes, rows["star"] == sizes["of_star"]).join(sets, rows["c"] == sets["id"])
+    rows = rows.withColumn("part", F.expr("int(pmod(xxhash64(c, star), if(apart, n_apart, n_main)) + if(apart, 0, n_apart))"))
+    tiles = rows.withColumn("other", F.explode(F.expr("sequence(0, n_apart + if(apart, n_main, 0) - 1)")))
     tiles = tiles.select("star", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "of", "group", "signature", "shingles")
     tiles = tiles.repartition("star", "x", "y").sortWithinPartitions("star", "x", "y")
 
