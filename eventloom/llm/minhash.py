@@ -239,11 +239,11 @@ def cross_links(members: DataFrame, sets: DataFrame, percent: int, side: int = 2
     signatures differ in at most DISTANCE components and returns a link only where it joins two
     groups, so it has fewer links than classes.
     """
-    mains = members.filter("c = first").select(F.col("first").alias("star"), F.col("group").alias("main"))
-    rows = members.join(mains, members["first"] == mains["star"]).select("star", "c", "group", (F.col("group") != F.col("main")).alias("apart"))
-    parts = lambda test: F.expr(f"cast(ceil(count_if({test}) / {side}) as int)")
-    sizes = rows.groupBy(F.col("star").alias("of_star")).agg(parts("apart").alias("n_apart"), parts("not apart").alias("n_main")).filter("n_apart > 0")
-    rows = rows.join(sizes, rows["star"] == sizes["of_star"]).join(sets, rows["c"] == sets["id"])
+    cells = members.groupBy("first", "group").agg(F.count("*").alias("n"), F.max(F.col("c") == F.col("first")).alias("is_main"))
+    parts = lambda test: F.expr(f"cast(ceil(coalesce(sum(n) filter (where {test}), 0) / {side}) as int)")
+    sizes = cells.groupBy(F.col("first").alias("star")).agg(parts("not is_main").alias("n_apart"), parts("is_main").alias("n_main"), F.expr("max(group) filter (where is_main)").alias("main"))
+    sizes = stored(sizes.filter("n_apart > 0"), "star-sizes")
+    rows = members.join(sizes, members["first"] == sizes["star"]).withColumn("apart", F.col("group") != F.col("main")).join(sets, F.col("c") == sets["id"])
     rows = rows.withColumn("part", F.expr("int(pmod(xxhash64(c, star), if(apart, n_apart, n_main)) + if(apart, 0, n_apart))"))
     tiles = rows.withColumn("other", F.explode(F.expr("sequence(0, n_apart + if(apart, n_main, 0) - 1)")))
     tiles = tiles.select("star", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "of", "group", "signature", "shingles")
