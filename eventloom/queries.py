@@ -225,8 +225,13 @@ only_value = lambda log: log.withColumn("attributes", F.create_map(F.lit("k"), F
 WORDS = ATTR.replace("k AS attr_value", "'v' || k AS attr_value")
 
 
+def rounded(column: str, digits: int):
+    """``column`` rounded as SQL rounds a double: to a whole number of its multiple; F.round takes the double's decimal text."""
+    return F.round(F.col(column) * 10.0**digits, 0) / 10.0**digits
+
+
 def deviation(name: str, step: str, run, sql: str) -> None:
-    add(name, lambda log: analyse.deviations(run(log), [step], surprise_threshold=4.0, z_threshold=1.5).select(*DEV).withColumn("score", F.round("score", 10)), sql)
+    add(name, lambda log: analyse.deviations(run(log), [step], surprise_threshold=4.0, z_threshold=1.5).select(*DEV).withColumn("score", rounded("score", 10)), sql)
 
 
 def dev_select(step: str, context: str, score: str, limit: float, source: str) -> str:
@@ -261,7 +266,7 @@ add("deviation_records", lambda log: analyse.deviation_records(analyse.deviation
           "flags AS (SELECT t, pos, string_agg(step, ',' ORDER BY step) AS flagged_by FROM hits GROUP BY t, pos)")
     + "SELECT att.t AS trace_id, att.pos AS position, att.a AS activity, attr_key, attr_value, round(inter.sup, 4) AS inter_trace_support, cell.sup AS intra_trace_support, flagged_by FROM att JOIN flags USING (t, pos) JOIN inter USING (attr_key, attr_value) JOIN cell ON cell.t = att.t AND cell.a = att.a AND cell.attr_key = att.attr_key AND cell.attr_value = att.attr_value".replace("JOIN inter USING (attr_key, attr_value) JOIN cell", "JOIN inter USING (attr_key, attr_value) JOIN cell").replace("attr_key, attr_value, round", "att.attr_key, att.attr_value, round"))
 mixed = lambda log: log.withColumn("attributes", F.create_map(F.lit("k"), F.concat(F.lit("v"), F.col("attributes")["k"]), F.lit("value"), F.col("attributes")["value"]))
-add("deviation_both_kinds", lambda log: analyse.deviations(mixed(log), ["1", "3"], surprise_threshold=4.0, z_threshold=1.5).select(*[c for c in DEV if c != "attr_value"]).withColumn("score", F.round("score", 6)),
+add("deviation_both_kinds", lambda log: analyse.deviations(mixed(log), ["1", "3"], surprise_threshold=4.0, z_threshold=1.5).select(*[c for c in DEV if c != "attr_value"]).withColumn("score", rounded("score", 6)),
     with_("va AS (SELECT t, pos, a, 'value' AS attr_key, value AS v FROM log WHERE value IS NOT NULL)", WORDS, "gr AS (SELECT t, pos, lag(a) OVER (PARTITION BY t ORDER BY pos) || '->' || a AS ngram FROM log)",
           "ctx AS (SELECT t, pos, a, '1' AS step, a AS context FROM log UNION ALL SELECT l.t, l.pos, l.a, '3', ngram FROM log l JOIN gr USING (t, pos) WHERE ngram IS NOT NULL)",
           "num AS (SELECT c.*, attr_key, v FROM ctx c JOIN va ON va.t = c.t AND va.pos = c.pos)", "cat AS (SELECT c.*, attr_key, attr_value FROM ctx c JOIN att ON att.t = c.t AND att.pos = c.pos)",
