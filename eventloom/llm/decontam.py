@@ -271,19 +271,39 @@ def passage_rows(doc: np.ndarray, half: np.ndarray, term: np.ndarray, base: np.n
     return passage[cut[keep]], np.cumsum(size) - size, term[mask]
 
 
+def tfidf(weight: np.ndarray, starts: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, value) of the TF-IDF matrix's entries by row, rows scaled to unit length, and the first entry of each row."""
+    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(term))))
+    pair, tf = np.unique(row * len(weight) + term, return_counts=True)
+    row, term = pair // len(weight), pair % len(weight)
+    value = tf * weight[term]
+    cut = np.flatnonzero(np.diff(row, prepend=-1))
+    norm = np.sqrt(np.add.reduceat(value**2, cut))
+    return row, term, (value / norm[row]).astype(np.float32), cut
+
+
 def embedded(items: Items, starts: np.ndarray, term: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """Rows of the TF-IDF matrix, scaled to unit length, times ``matrix``."""
     if not len(starts):
         return np.zeros((0, matrix.shape[1]), dtype=np.float32)
-    size = np.diff(np.append(starts, len(term)))
-    row = np.repeat(np.arange(len(starts)), size)
-    pair, tf = np.unique(row * len(items.terms) + term, return_counts=True)
-    r, t = pair // len(items.terms), pair % len(items.terms)
-    value = tf * items.weight[t]
-    cut = np.flatnonzero(np.diff(r, prepend=-1))
-    norm = np.sqrt(np.add.reduceat(value**2, cut))
-    value = (value / norm[r]).astype(np.float32)
-    return np.add.reduceat(matrix[t] * value[:, None], cut, axis=0)
+    _, term, value, cut = tfidf(items.weight, starts, term)
+    return np.add.reduceat(matrix[term] * value[:, None], cut, axis=0)
+
+
+def add_product(total: np.ndarray, weight: np.ndarray, starts: np.ndarray, term: np.ndarray, matrix: np.ndarray) -> None:
+    """Add A'(A ``matrix``) to ``total`` for the rows A of the TF-IDF matrix."""
+    row, term, value, cut = tfidf(weight, starts, term)
+    y = np.add.reduceat(matrix[term] * value[:, None], cut, axis=0)
+    order = np.argsort(term, kind="stable")
+    first = np.flatnonzero(np.diff(term[order], prepend=-1))
+    total[term[order][first]] += np.add.reduceat(y[row[order]] * value[order][:, None], first, axis=0)
+
+
+def slices(starts: np.ndarray, term: np.ndarray, most: int = 1000):
+    """(segment starts, terms) of ``most`` segments at a time."""
+    for s in range(0, len(starts), most):
+        end = starts[s + most] if s + most < len(starts) else len(term)
+        yield starts[s : s + most] - starts[s], term[starts[s] : end]
 
 
 def item_rows(items: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -293,56 +313,85 @@ def item_rows(items: Items) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(size) - size, np.concatenate(terms)
 
 
-def fit_space(docs: DataFrame, items: Items, rank: int, sample: int, seed: int) -> Items:
+#: Terms whose rows of a sum travel together.
+TERMS = 64
+
+
+def summed_product(passages: DataFrame, weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """A'(A ``matrix``) for the TF-IDF rows A of all passages: tasks add up their own passages, then blocks of terms are added up across tasks."""
+    given, rank = passages.sparkSession.sparkContext.broadcast((weight, matrix)), matrix.shape[1]
+
+    def share(batches):
+        import pyarrow as pa
+
+        weight, matrix = given.value
+        total = np.zeros(matrix.shape)
+        for batch in batches:
+            for starts, term in zip(*[batch.column(i).to_pylist() for i in (0, 1)]):
+                add_product(total, weight, np.frombuffer(starts, dtype=np.int32), np.frombuffer(term, dtype=np.int32), matrix)
+        for k in range(0, len(total), TERMS):
+            if total[k : k + TERMS].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k : k + TERMS].tobytes()], pa.binary())], ["first", "share"])
+
+    def add_up(batches):
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, rows in zip(*[batch.column(i).to_pylist() for i in (0, 1)]):
+                sums[k] = sums.get(k, 0.0) + np.frombuffer(rows).reshape(-1, rank)
+        for k, rows in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([rows.tobytes()], pa.binary())], ["first", "share"])
+
+    schema = "first long, share binary"
+    shares = passages.mapInArrow(share, schema).repartition(max(8, len(weight) // (8 * TERMS)), "first")
+    total = np.zeros(matrix.shape)
+    for r in shares.mapInArrow(add_up, schema).collect():  # terms x rank numbers, however many documents there are
+        total[r["first"] : r["first"] + TERMS] = np.frombuffer(r.share).reshape(-1, rank)
+    given.destroy()
+    return total
+
+
+def fit_space(docs: DataFrame, items: Items, n: int, rank: int, mass: int, seed: int) -> Items:
     """Latent space by a distributed randomised SVD of TF-IDF passages.
 
-    Rows are the items' parts and the passages of about ``sample`` documents picked by a hash.
-    Each task returns its share of A'(A M) for the terms-by-rank matrix M; M is random first,
-    then the orthonormal basis of the sum: two rounds. Cosines don't depend on the basis of
-    the space, so the last one is the result.
+    Rows are the items' parts and the passages of all ``n`` documents that hold two terms, which
+    are stored as numbers of terms. Each round computes A'(A M) for the terms-by-rank matrix M; M
+    is random first, then the orthonormal basis of the sum: two rounds. Cosines don't depend on
+    the basis of the space, so the last one is the result. More than ``mass`` documents weigh as
+    much as ``mass`` beside the items, so that these keep their share of the space.
     """
-    spark, rank = docs.sparkSession, min(rank, len(items.terms))
+    rank = min(rank, len(items.terms))
     rng = np.random.Generator(np.random.PCG64(seed))
     matrix = np.linalg.qr(rng.standard_normal((len(items.terms), rank)))[0].astype(np.float32)
-    every = max(1, docs.count() // sample)
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    picked = picked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * sample)
-    picked = stored(picked.select("text").repartition(4), "passages")
-    starts, term = item_rows(items)
+    given = docs.sparkSession.sparkContext.broadcast(items)
 
-    def product(starts, term, matrix):
-        out = np.zeros_like(matrix)
-        y = embedded(items, starts, term, matrix)
-        size = np.diff(np.append(starts, len(term)))
-        row = np.repeat(np.arange(len(starts)), size)
-        weight = items.weight[term]
-        norm = np.sqrt(np.bincount(row, weight**2, minlength=len(starts)))
-        np.add.at(out, term, y[row] * (weight / norm[row]).astype(np.float32)[:, None])
-        return out
+    def cut(batches):
+        import pyarrow as pa
 
+        items = given.value
+        for (texts,) in text_batches(batches, 0):
+            hashes, count = word_hashes(texts)
+            _, found, doc, half, base, _ = term_rows(items, hashes, count)
+            doc, half, term = latent_rows(items, found, doc, half)
+            _, starts, term = passage_rows(doc, half, term, base, 2)
+            rows = [(s.astype(np.int32).tobytes(), t.astype(np.int32).tobytes()) for s, t in slices(starts, term)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], ["starts", "terms"])
+
+    passages = stored(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(cut, "starts binary, terms binary"), "passages")
+    given.destroy()
+    starts, term = item_rows(items)
+    scale = max(1.0, len(starts) and float(np.sqrt(mass / len(starts))))
     for _ in range(2):
-        given = spark.sparkContext.broadcast((items, matrix))
-
-        def run(batches, given=given):
-            import pyarrow as pa
-
-            items, matrix = given.value
-            total = np.zeros_like(matrix)
-            for (texts,) in text_batches(batches, 0, 1_000_000):
-                hashes, count = word_hashes(texts)
-                _, found, doc, half, base, _ = term_rows(items, hashes, count)
-                doc, half, term = latent_rows(items, found, doc, half)
-                _, starts, term = passage_rows(doc, half, term, base, 2)
-                if len(starts):
-                    total += product(starts, term, matrix)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["share"])
-
-        shares = picked.mapInArrow(run, "share binary").collect()  # four rows of terms x rank floats
-        total = sum((np.frombuffer(r.share, dtype=np.float32).reshape(matrix.shape) for r in shares), np.zeros_like(matrix))
-        scale = max(1.0, len(starts) and float(np.sqrt(sample / len(starts))))
-        matrix = np.linalg.qr((total + scale * product(starts, term, matrix)).astype(np.float64))[0].astype(np.float32)
+        total = summed_product(passages, items.weight, matrix) * min(1.0, mass / max(1, n))
+        for part in slices(starts, term):
+            own = np.zeros(matrix.shape)
+            add_product(own, items.weight, *part, matrix)
+            total += scale * own
+        matrix = np.linalg.qr(total)[0].astype(np.float32)
     items.space = matrix
-    parts = embedded(items, starts, term, matrix)
+    parts = np.concatenate([embedded(items, *part, matrix) for part in slices(starts, term)])
     items.parts = parts / np.maximum(np.linalg.norm(parts, axis=1, keepdims=True), 1e-9)
     return items
 
@@ -425,7 +474,7 @@ def leaks_in(items: Items, hashes: np.ndarray, count: np.ndarray, cosine: float,
         yield from checked(h, k, 0.0)
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, block: int, least: int, rank: int, sample: int, common: float, seed: int, shares: tuple[float, float]):
+def prepared(docs: DataFrame, benchmark: DataFrame, block: int, least: int, rank: int, mass: int, common: float, seed: int, shares: tuple[float, float]):
     """The benchmark in blocks of at most ``block`` items, each with its own terms and space; the driver holds one at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     held = []
@@ -436,7 +485,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, block: int, least: int, rank
         if len(items.terms):
             df, n = term_counts(docs, items)
             with scratch(docs.sparkSession):
-                items = fit_space(docs, informative(items, df, n, common, 8, *shares), rank, sample, seed)
+                items = fit_space(docs, informative(items, df, n, common, 8, *shares), n, rank, mass, seed)
         yield items
 
     for r in rows.orderBy("item_id", "text").toLocalIterator():
@@ -455,7 +504,7 @@ def contamination(
     paraphrased: float = 0.6,
     least: int = 6,
     rank: int = 256,
-    sample: int = 2000,
+    mass: int = 2000,
     common: float = 0.02,
     block: int = 4096,
     seed: int = 11,
@@ -464,8 +513,8 @@ def contamination(
 
     Every document is cut into overlapping passages of 64 words, and every passage that holds
     two informative terms is compared by cosine with all items (their parts of 64 words) in a
-    latent space; terms count over all documents, the space is fitted on about ``sample``
-    documents and the items. Candidates are the pairs that reach ``cosine`` and, whatever their
+    latent space; terms count over all documents, and the space is fitted on all documents and
+    the items (see ``fit_space``). Candidates are the pairs that reach ``cosine`` and, whatever their
     cosine, all whose words leave a leak possible (see ``possible``), so the space loses none;
     candidates whose words can't suffice end there. A candidate is a leak if its longest common
     subsequence with the text around the passage covers ``copied`` of the item's words, or
@@ -482,7 +531,7 @@ def contamination(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, n_words long, n_common long, cosine double, answered boolean"
     out = spark.createDataFrame([], schema)
-    for items in prepared(docs, benchmark, block, least, rank, sample, common, seed, (copied, paraphrased)):
+    for items in prepared(docs, benchmark, block, least, rank, mass, common, seed, (copied, paraphrased)):
         given = spark.sparkContext.broadcast(items)
 
         def run(batches, given=given):
@@ -516,7 +565,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     that leak, so no more than one block is held at a time; a benchmark of one block is applied
     as the documents are read, without a shuffle.
     """
-    defaults = {"cosine": 0.3, "copied": 0.8, "paraphrased": 0.6, "least": 6, "rank": 256, "sample": 2000, "common": 0.02, "block": 4096, "seed": 11} | options
+    defaults = {"cosine": 0.3, "copied": 0.8, "paraphrased": 0.6, "least": 6, "rank": 256, "mass": 2000, "common": 0.02, "block": 4096, "seed": 11} | options
     limits = [defaults.pop(k) for k in ("cosine", "copied", "paraphrased")]
     spark, text_at = docs.sparkSession, docs.columns.index("text")
     one = benchmark.limit(defaults["block"] + 1).count() <= defaults["block"]
@@ -535,7 +584,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
 
     key = F.sha2(F.col("text").cast("string").cast("binary"), 256)
     out, digests = docs, []
-    for items in prepared(docs, benchmark, **{k: defaults[k] for k in ("block", "least", "rank", "sample", "common", "seed")}, shares=tuple(limits[1:])):
+    for items in prepared(docs, benchmark, **{k: defaults[k] for k in ("block", "least", "rank", "mass", "common", "seed")}, shares=tuple(limits[1:])):
         given = spark.sparkContext.broadcast(items)
 
         def run(batches, given=given):

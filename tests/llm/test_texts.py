@@ -557,6 +557,50 @@ def test_no_paraphrase_is_lost_by_the_space(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.contamination(few, bench, cosine=1.1).collect()} == found
 
 
+def dense_space(items, texts: list[str], mass: int = 2000, seed: int = 11) -> np.ndarray:
+    """The space of ``decontam.fit_space`` from a full matrix of all passages of all texts."""
+    column = {int(h): k for k, h in enumerate(items.terms)}
+
+    def rows(parts, least):
+        out = []
+        for hashes in parts:
+            held = [column[h] for h in hashes.tolist() if h in column]
+            if len(held) >= least:
+                row = np.bincount(held, minlength=len(column)) * items.weight
+                out.append(row / np.linalg.norm(row))
+        return np.array(out)
+
+    hashes = [decontam.word_hashes([t])[0] for t in texts]
+    docs, own = rows([h[a : a + 64] for h in hashes for a in range(0, len(h), 32)], 2), rows(items.words, 1)
+    rng = np.random.Generator(np.random.PCG64(seed))
+    m = np.linalg.qr(rng.standard_normal((len(column), items.space.shape[1])))[0]
+    for _ in range(2):
+        m = np.linalg.qr(docs.T @ (docs @ m) * min(1.0, mass / len(texts)) + max(1.0, np.sqrt(mass / len(own))) * (own.T @ (own @ m)))[0]
+    return m
+
+
+def fitted_on_all(spark, monkeypatch, folder, run) -> list:
+    """Rows of ``run(docs, folder)`` on 5000 documents, once the space it fits has been compared with ``dense_space``."""
+    rng = random.Random(41)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(6000)]
+    bench = [(i, " ".join(rng.choices(words, k=40))) for i in range(12)]
+    texts = [" ".join(rng.choices(words, k=70)) + (" " + bench[d // 500][1] if d % 500 == 0 else "") for d in range(5000)]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.parquet(f"{folder}/documents.parquet")
+    fitted, fit = [], decontam.fit_space
+    monkeypatch.setattr(decontam, "fit_space", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    out = run(spark.read.parquet(f"{folder}/documents.parquet"), str(folder))
+    (items,) = fitted
+    want = dense_space(items, texts)
+    assert np.abs(items.space @ items.space.T - want @ want.T).max() < 1e-3
+    return out.collect()
+
+
+def test_the_space_is_fitted_on_all_documents(spark, monkeypatch, tmp_path):
+    rows = fitted_on_all(spark, monkeypatch, tmp_path, lambda docs, folder: decontam.op5_latent_decontamination(spark, folder))
+    assert {(r.doc_id, r.item_id) for r in rows} == {(500 * i, i) for i in range(10)}
+
+
 def test_paraphrase_needs_the_answer():
     text = "one two three four five six seven eight nine ten. eleven twelve thirteen fourteen."
     assert decontam.answer_of(text) == "eleven twelve thirteen fourteen."
