@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from eventloom.llm.common import fmix, ranges, scratch, span_hashes, stored, text_batches, unused, word_spans
+from eventloom.llm.common import fmix, give_back, ranges, scratch, span_hashes, stored, text_batches, unused, word_spans
 
 #: Words of half a passage; a passage is two halves, so any 33 words in a row lie in one.
 HALF = 32
@@ -332,6 +332,7 @@ def summed_product(passages: DataFrame, weight: np.ndarray, matrix: np.ndarray)
         for k in range(0, len(total), TERMS):
             if total[k : k + TERMS].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k : k + TERMS].tobytes()], pa.binary())], ["first", "share"])
+        give_back()
 
     def add_up(batches):
         import pyarrow as pa

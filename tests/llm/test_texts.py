@@ -601,6 +601,14 @@ def test_the_space_is_fitted_on_all_documents(spark, monkeypatch, tmp_path):
     assert {(r.doc_id, r.item_id) for r in rows} == {(500 * i, i) for i in range(10)}
 
 
+def test_the_pipeline_fits_the_space_on_all_documents(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["decontamination"]
+    rows = fitted_on_all(spark, monkeypatch, tmp_path, lambda docs, folder: stage(spark, docs, folder))
+    assert {r.doc_id for r in rows} == set(range(5000)) - {500 * i for i in range(10)}
+
+
 def test_paraphrase_needs_the_answer():
     text = "one two three four five six seven eight nine ten. eleven twelve thirteen fourteen."
     assert decontam.answer_of(text) == "eleven twelve thirteen fourteen."
