@@ -189,8 +189,9 @@ def encode_decode(
     average: int = 1024,
     window: int = 32,
     cache_chars: int = 8_000_000,
+    decode: bool = True,
 ) -> DataFrame:
-    """Ids of every whole text and the text decoded from them: (id, ids array<int>, decoded string).
+    """Ids of every whole text and, with ``decode``, the text decoded from them: (id, ids array<int>, decoded string).
 
     Equal to the ``tokenizers`` library's ``encode(text, add_special_tokens=False)`` and
     ``decode(ids, skip_special_tokens=False)`` without truncation or padding, for any vocabulary
@@ -210,22 +211,23 @@ def encode_decode(
         import pyarrow.compute as pc
 
         coder = chunk_encoder(path, average, window, cache_chars)
-        tokens = pa.array(coder.words.tokens, pa.string())
+        tokens = pa.array(coder.words.tokens if decode else [], pa.string())
         for keys, texts in text_batches(batches):
             ids, count = coder.encode(texts)
             offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
-            if coder.words.plain_decoder:
+            columns = [keys.cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
+            if decode and coder.words.plain_decoder:
                 parts = pa.ListArray.from_arrays(offsets, tokens.take(pa.array(ids, pa.int32())))
-                decoded = pc.binary_join(parts, " ").cast(pa.string())
-            else:
+                columns.append(pc.binary_join(parts, " ").cast(pa.string()))
+            elif decode:
                 at = offsets.to_pylist()
                 lists = [ids[a:b].tolist() for a, b in zip(at, at[1:])]
-                decoded = pa.array(coder.words.tok.decode_batch(lists, skip_special_tokens=False), pa.string())
-            listed = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), listed, decoded], ["doc_id", "ids", "decoded"])
+                columns.append(pa.array(coder.words.tok.decode_batch(lists, skip_special_tokens=False), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
+    schema = "doc_id long, ids array<int>" + ", decoded string" * decode
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return drop_clashes(rows, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return drop_clashes(rows, "doc_id", "text").mapInArrow(run, schema)
 
 
 def op6_bpe_chunks(spark, sf_dir: str) -> DataFrame:

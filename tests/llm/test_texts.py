@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -122,6 +123,50 @@ def test_small_cache_changes_nothing(texts, tok):
         assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_learnt_words_take_few_bytes():
+    """A worker keeps its words from task to task; a dict of them took 116 bytes a word, without the arrays beside it."""
+    coder = bpe_words.WordEncoder(bpe_words.default_vocabulary())
+    coder.encode(["a b"])
+    tracemalloc.start()
+    for k in range(10):
+        coder.encode([" ".join("q" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(100_000 + 6000 * k, 106_000 + 6000 * k))])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(coder.words) == 60_002 and held < 85 * 60_000
+
+
+def test_words_that_share_a_hash(texts, tok, monkeypatch):
+    real = bpe_words.span_hashes
+    monkeypatch.setattr(bpe_words, "span_hashes", lambda *spans: real(*spans) % np.uint64(5))
+    coder = bpe_words.WordEncoder(bpe_words.default_vocabulary())
+    for t in 2 * [t or "" for _, t in texts[0]]:
+        assert coder.encode([t])[0].tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert len(coder.words.keys) <= 5 < len(coder.words.clashing) == len(coder.words) - len(coder.words.keys)
+
+
+def test_long_groups_go_to_the_library_in_parts(tok):
+    coder = bpe_words.WordEncoder(bpe_words.default_vocabulary())
+    given, real = [], coder.tok
+    coder.tok = type("Counted", (), {"encode": lambda self, t, **k: given.append(len(t)) or real.encode(t, **k), "encode_batch": lambda self, ts, **k: given.append(sum(map(len, ts))) or real.encode_batch(ts, **k)})()
+    rng = random.Random(9)
+    rows = [" ".join("".join(rng.choices("abcdefgh" + odd, k=rng.randint(1, 12))) for _ in range(n)) for odd in ("", "字é") for n in (20_000, 3000, 0, 9000, 9000, 9000, 1)]
+    ids, count = coder.encode(rows)
+    at = 0
+    for t, n in zip(rows, count.tolist()):
+        assert ids[at : at + n].tolist() == tok.encode(t, add_special_tokens=False).ids
+        at += n
+    assert at == len(ids) and max(given) <= 2 * max(1 << 16, *(len(t) for t in rows[7:])) and sum(given) > 5 * (1 << 16)
+
+
+def test_the_pipeline_decodes_nothing(texts, spark):
+    import corpus_pipeline
+
+    plain = bpe_chunks.encode_decode(texts[1], decode=False)
+    assert plain.columns == ["doc_id", "ids"] and sorted(plain.collect()) == sorted(bpe_chunks.encode_decode(texts[1]).select("doc_id", "ids").collect())
+    out = corpus_pipeline.encode(spark, texts[1], "")
+    assert "decoded" not in out._jdf.queryExecution().toString() and out.columns == ["doc_id", "n_tokens", "ids"]
+
+
 def test_token_files(texts, tok):
     rows, df = texts
     manifest = token_files.write_files(df, sample=20, file_bytes=2000)
